@@ -157,13 +157,15 @@ def node_pairs(fps: DataFrame, budget: int = 2, pair_rows: int = PAIR_ROWS) -> D
     rows = fps.select("fp", prefix(depth).alias("p"), F.explode(masks).alias("m")).select(F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("pa"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("pb"), F.lit(depth).alias("depth"), "fp")
     out = None
     while True:
-        big = materialize(rows.groupBy("pa", "pb").agg(F.count("*").alias("n")).where(F.col("n") > pair_rows).select("pa", "pb"), "simhash-crowded")
+        above = F.expr("shiftrightunsigned(fp, 64 - depth) = pb AND pa <> pb").cast("int")
+        sizes = rows.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.sum(above).alias("n_top")).where(F.col("n") > pair_rows)
+        big = materialize(sizes.select("pa", "pb", F.expr("pa = pb OR n_top BETWEEN 1 AND n - 1").alias("met")), "simhash-crowded")
         if depth >= BITS - 6 or big.isEmpty():
             return rows if out is None else out.unionByName(rows)
-        small = rows.join(big, ["pa", "pb"], "left_anti")
+        small = rows.join(big.select("pa", "pb"), ["pa", "pb"], "left_anti")
         out = small if out is None else out.unionByName(small)
         lower = F.array(*(F.lit(m).cast("long") for m in _masks(6, budget)))
-        crowded = materialize(rows.join(big, ["pa", "pb"], "left_semi"), "simhash-rows")
+        crowded = materialize(rows.join(big.where("met").select("pa", "pb"), ["pa", "pb"], "left_semi"), "simhash-rows")
         other = F.shiftleft(F.col("pa").bitwiseXOR(F.col("pb")), 6)
         rows = (
             crowded.select("fp", other.alias("o"), F.explode(lower).alias("m"))

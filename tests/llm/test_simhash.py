@@ -70,7 +70,7 @@ def test_repeated_rows_null_ids_and_empty(spark):
 
 def test_crowded_subtrees_are_split_without_loss(spark):
     rng = np.random.default_rng(1)
-    x = np.unique(rng.integers(0, 1 << 14, 900, dtype=np.uint64) | np.uint64(5 << 60))
+    x = np.unique((rng.integers(0, 1 << 14, 900, dtype=np.uint64) << np.uint64(40)) | np.uint64(5 << 60))
     df = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
     label = {r.node: r.label for r in components(simhash.links(df, pair_rows=64)).collect()}
     want = brute_components({int(v): int(v) for v in x})
