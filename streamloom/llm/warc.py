@@ -71,15 +71,15 @@ class _Member:
         self.ready += self.z.decompress(data, CHUNK)
 
     def more(self) -> bool:
+        if self.z.eof:
+            return False
         if self.z.unconsumed_tail:
             self._feed(self.z.unconsumed_tail)
-        elif not self.z.eof:
+        else:
             data, before = self.source.read(CHUNK), len(self.ready)
             self._feed(data)
             if not data and len(self.ready) == before and not self.z.eof:
                 raise ValueError("archive ends inside a gzip member")
-        else:
-            return False
         return True
 
     def until(self, mark: bytes) -> bytes:
