@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import packing, quality_model, quality_rules, simhash, toxicity, warc
+from streamloom.llm import decontamination, packing, quality_model, quality_rules, simhash, surrogates, toxicity, warc
 from streamloom.llm.common import held_out
 
 
+#: The key of registered queries; a caller of surrogates.pseudonymise gives a secret one.
+PII_KEY = "public demonstration key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> tuple[str, str, str]:
+def tokenizer() -> tuple[str, str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -29,8 +33,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(toxicity.score(docs, model), 0.5)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_replaced")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +51,10 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "web.1")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.fails("base.1").alias("base_failed"), "kept", "fail_bits")
@@ -57,6 +69,22 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Shingles of five words of a table d(id, text), spelled out.
+_GRAMS = r"""
+SELECT DISTINCT id, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 AS g FROM (
+  SELECT id, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+  FROM (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (
+    SELECT id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM %s))
+  WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE w5 IS NOT NULL
+"""
+
+OP7_SQL = f"""
+WITH d AS ({_GRAMS % "(SELECT doc_id AS id, text FROM documents)"}), b AS ({_GRAMS % "(SELECT item_id AS id, text FROM benchmark)"}),
+n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id),
+s AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, round(n_shared / n_item, 6) AS containment FROM s JOIN n ON n.id = s.item_id WHERE n_shared >= 0.8 * n_item - 1e-9
+"""
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -99,4 +127,4 @@ FROM p LEFT JOIN f USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL, "op10_warc_roundtrip": OP10_SQL}
+    return {"op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc_roundtrip": OP10_SQL}
