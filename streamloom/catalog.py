@@ -1,11 +1,398 @@
-"""The registered queries over ordered streams, with their DuckDB counterparts."""
+"""The registered queries over ordered streams, with their DuckDB counterparts.
+
+The signal is `events` ordered by (ts, event_id); sizes follow the table, none is cut.
+"""
 
 from __future__ import annotations
 
+import inspect
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamloom.functions import metrics, samples
+from streamloom.functions.time import TimeMeasure
+from streamloom.operators import spectral, windows
+from streamloom.plans.stream import Stream
+from streamloom.sources import pcm, sinks, tables
+from streamloom.streaming import managed
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+#: The signal and a second, shorter one.
+_S = "s AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events)"
+_P = "p AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events WHERE event_type = 'purchase')"
+RATE = 1000.0
+
+
+def query(sql: str | None):
+    def keep(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = inspect.cleandoc(sql)
+        return fn
+
+    return keep
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def signal(spark: SparkSession, sf_dir: str) -> Stream:
+    return Stream.from_df(_events(spark, sf_dir), ["ts", "event_id"], "value")
+
+
+def purchases(spark: SparkSession, sf_dir: str) -> Stream:
+    return Stream.from_df(_events(spark, sf_dir).where("event_type = 'purchase'"), ["ts", "event_id"], "value")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> Stream:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = Stream.from_df(df, ["vec_id"], F.transform("embedding", lambda x: x.cast("double")))
+    found.kind = "vector"
+    return found
+
+
+def _out(stream: Stream, spark: SparkSession, digits: int | None = 6) -> DataFrame:
+    df = stream.build(spark, RATE)
+    return df.select("idx", (F.round("value", digits) if digits is not None else F.col("value")).alias("value"))
+
+
+def _list(df: DataFrame, arrays: str = "value.elements") -> DataFrame:
+    """One row for each element of each window."""
+    return df.select("idx", F.posexplode(arrays).alias("i", "x")).select("idx", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("value"))
+
+
+def _windows(size: int, step: int, of: str = "s", name: str = "w") -> str:
+    """CTE of (wid, i, v, n) for windows over a signal."""
+    return f"""
+    {name} AS (SELECT wid, s.idx - wid * {step} AS i, s.v, count(*) OVER (PARTITION BY wid) AS n
+      FROM (SELECT range AS wid FROM range(0, (SELECT CAST(ceil(count(*) / {step}.0) AS BIGINT) FROM {of}))) t
+      JOIN {of} s ON s.idx >= wid * {step} AND s.idx < wid * {step} + {size})"""
+
+
+@query(f"WITH {_S} SELECT idx, round(v * 0.5 + 1, 6) AS value FROM s")
+def map_scale(spark, sf_dir):
+    return _out(signal(spark, sf_dir).map(lambda v: v * 0.5 + 1), spark)
+
+
+@query(f"WITH {_S} SELECT idx, round(v * (1.0 / CAST(3 AS DOUBLE)), 6) AS value FROM s")
+def amp_div(spark, sf_dir):
+    return _out(signal(spark, sf_dir) / 3, spark)
+
+
+@query(f"WITH {_S} SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, round(v, 6) AS value FROM s WHERE v > 100")
+def filter_flatmap(spark, sf_dir):
+    return _out(signal(spark, sf_dir).filter(lambda v: v > 100), spark)
+
+
+@query(f"WITH {_S} SELECT idx, round(v, 6) AS value FROM s WHERE idx < 750")
+def trim_time(spark, sf_dir):
+    return _out(signal(spark, sf_dir).trim(750), spark)
+
+
+@query(f"WITH {_S}, {_windows(8, 8)} SELECT wid AS idx, round(sum(v), 6) AS value FROM w WHERE wid * 8 < 100 GROUP BY wid")
+def trim_windows_overshoot(spark, sf_dir):
+    df = signal(spark, sf_dir).window(8).trim(100).build(spark, RATE)
+    return df.select("idx", F.round(F.aggregate("value.elements", F.lit(0.0), lambda a, x: a + x), 6).alias("value"))
+
+
+@query(f"WITH {_S} SELECT idx - 200 AS idx, round(v, 6) AS value FROM s WHERE idx >= 200 AND idx < 900")
+def range_projection(spark, sf_dir):
+    return _out(signal(spark, sf_dir).range_projection(200, 900), spark)
+
+
+@query(f"WITH {_P} SELECT r.range AS idx, round(coalesce(v, -1), 6) AS value FROM range(0, 5000) r LEFT JOIN p ON p.idx = r.range")
+def after_filling(spark, sf_dir):
+    return _out(purchases(spark, sf_dir).after_filling(-1.0).trim(5000), spark)
+
+
+@query(f"WITH {_S}, {_P} SELECT coalesce(s.idx, p.idx) AS idx, round(coalesce(s.v, 0) + 2 * coalesce(p.v, 0), 6) AS value FROM s FULL JOIN p ON s.idx = p.idx")
+def merge_full_outer(spark, sf_dir):
+    both = signal(spark, sf_dir).merge(purchases(spark, sf_dir), lambda a, b: F.coalesce(a, F.lit(0.0)) + 2 * F.coalesce(b, F.lit(0.0)))
+    return _out(both, spark)
+
+
+@query(f"WITH {_S}, {_P} SELECT s.idx, round(s.v + p.v, 6) AS value FROM s JOIN p ON s.idx = p.idx")
+def merge_null_ends(spark, sf_dir):
+    return _out(signal(spark, sf_dir).merge(purchases(spark, sf_dir), lambda a, b: a + b, ends_at_null=True), spark)
+
+
+def _arithmetic(op: str, sql: str):
+    @query(f"WITH {_S}, {_P} SELECT coalesce(s.idx, p.idx) AS idx, round({sql}, 6) AS value FROM s FULL JOIN p ON s.idx = p.idx")
+    def run(spark, sf_dir):
+        return _out(signal(spark, sf_dir)._merged(purchases(spark, sf_dir), op), spark)
+
+    return run
+
+
+for _name, _op, _sql in (
+    ("add", "+", "coalesce(s.v, 0) + coalesce(p.v, 0)"),
+    ("sub", "-", "coalesce(s.v, 0) - coalesce(p.v, 0)"),
+    ("mul", "*", "coalesce(s.v, 0) * coalesce(p.v, 0)"),
+    ("div", "/", "CASE WHEN p.v IS NULL THEN 0 ELSE coalesce(s.v, 0) / p.v END"),
+):
+    _run = _arithmetic(_op, _sql)
+    _QUERIES[f"stream_{_name}"], _SQL[f"stream_{_name}"] = _QUERIES.pop("run"), _SQL.pop("run")
+
+
+@query(f"WITH {_S}, {_P} SELECT idx, round(v, 6) AS value FROM p UNION ALL SELECT idx + (SELECT count(*) FROM p), round(v, 6) FROM s")
+def concat(spark, sf_dir):
+    return _out(purchases(spark, sf_dir).concat(signal(spark, sf_dir)), spark)
+
+
+def _aggregated(size: int, step: int):
+    def run(spark, sf_dir):
+        df = (signal(spark, sf_dir) * 0.5).build(spark, RATE)
+        return windows.window_agg(df, size, step, mean_value=F.round(F.avg("value"), 6), n=F.count("*"))
+
+    return run
+
+
+for _name, _size, _step in (("tumbling", 8, 8), ("sliding", 8, 4), ("gapped", 5, 9)):
+    _QUERIES[f"window_{_name}"] = _aggregated(_size, _step)
+    _SQL[f"window_{_name}"] = f"WITH {_S}, {_windows(_size, _step)} SELECT wid AS idx, round(avg(v * 0.5), 6) AS mean_value, count(*) AS n FROM w GROUP BY wid"
+
+
+@query(f"WITH {_S}, {_windows(7, 5)} SELECT wid AS idx, i, round(v * 3 - 1, 6) AS value FROM w")
+def window_scalar(spark, sf_dir):
+    return _list((signal(spark, sf_dir).window(7, 5) * 3 - 1).build(spark, RATE))
+
+
+@query(f"""WITH {_S}, {_P}, {_windows(4, 4)}, {_windows(4, 4, "p", "u")},
+g AS (SELECT wid, range AS i FROM (SELECT DISTINCT wid FROM w UNION SELECT DISTINCT wid FROM u), range(0, 4))
+SELECT g.wid AS idx, g.i, round(coalesce(w.v, 0) + coalesce(u.v, 0), 6) AS value
+FROM g LEFT JOIN w ON w.wid = g.wid AND w.i = g.i LEFT JOIN u ON u.wid = g.wid AND u.i = g.i""")
+def window_add(spark, sf_dir):
+    return _list((signal(spark, sf_dir).window(4) + purchases(spark, sf_dir).window(4)).build(spark, RATE))
+
+
+def _tapered(name: str):
+    def run(spark, sf_dir):
+        return _list(signal(spark, sf_dir).window(16, 12).taper(name).build(spark, RATE))
+
+    return run
+
+
+for _name, _sql in (
+    ("rectangle", "1"),
+    ("triangular", "1 - abs((i - n / 2.0) / (n / 2.0))"),
+    ("blackman", "0.42 - 0.5 * cos(2 * pi() * i / n) + 0.08 * cos(4 * pi() * i / n)"),
+    ("hamming", "25.0::DOUBLE / 46 - (1 - 25.0::DOUBLE / 46) * cos(2 * pi() * i / n)"),
+):
+    _QUERIES[f"window_{_name}"] = _tapered(_name)
+    _SQL[f"window_{_name}"] = f"WITH {_S}, {_windows(16, 12)} SELECT wid AS idx, i, round(v * ({_sql}), 6) AS value FROM w"
+
+
+@query(f"""WITH {_S}, {_windows(8, 5)}, top AS (SELECT max(wid) AS m FROM w),
+cells AS (SELECT wid, range AS i FROM (SELECT DISTINCT wid FROM w), range(0, 8))
+SELECT c.wid * 5 + c.i AS idx, round(sum(coalesce(w.v, 0)), 6) AS value FROM cells c LEFT JOIN w ON w.wid = c.wid AND w.i = c.i GROUP BY 1""")
+def flatten_windows_overlap(spark, sf_dir):
+    return _out(signal(spark, sf_dir).window(8, 5).flatten(), spark)
+
+
+@query("""SELECT row_number() OVER (ORDER BY vec_id, i) - 1 AS idx, round(x, 6) AS value FROM (
+SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)""")
+def flatten_lists(spark, sf_dir):
+    return _out(vectors(spark, sf_dir).flatten(), spark)
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding AS e FROM embeddings)
+SELECT a.idx, generate_subscripts(a.e, 1) - 1 AS i, round(unnest(list_transform(a.e, lambda x: x::DOUBLE * 2 + x::DOUBLE)), 6) AS value FROM e a""")
+def vector_ops(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return _list((v * 2 + v).build(spark, RATE), "value")
+
+
+@query(f"WITH {_S} SELECT idx * 3 + r.range AS idx, round(v, 6) AS value FROM s, range(0, 3) r")
+def resample_up(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    s.rate = 1000.0
+    return _out(s.resample(3000.0, method="simple"), spark)
+
+
+@query(f"WITH {_S} SELECT idx // 4 AS idx, round(sum(v), 6) AS value FROM s GROUP BY 1")
+def resample_down_sum(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    s.rate = 1000.0
+    return _out(s.resample(250.0, F.sum, "simple"), spark)
+
+
+@query(f"""WITH {_S}, n AS (SELECT count(*) AS n FROM s),
+k AS (SELECT range AS k FROM range(0, (SELECT 2 * n + 64 FROM n))),
+o AS (SELECT k, CAST(trunc(trunc(k / 1600.0::DOUBLE * 1000.0::DOUBLE) / 1000.0::DOUBLE * 1000.0::DOUBLE) AS BIGINT) AS s, k / 1600.0::DOUBLE * 1000.0::DOUBLE AS x FROM k),
+e AS (SELECT min(k) AS total FROM (SELECT k, s, lag(s) OVER (ORDER BY k) AS q FROM o) WHERE s > q AND q + 32 >= (SELECT n FROM n)),
+t AS (SELECT o.k, o.s + r.range AS j, r.range - 16 - (o.x - o.s) AS z FROM o, range(0, 32) r WHERE o.k < (SELECT total FROM e))
+SELECT t.k AS idx, round(sum(coalesce(s.v, 0) * CASE WHEN z = 0 THEN 1 ELSE sin(pi() * z) / (pi() * z) END), 6) AS value FROM t LEFT JOIN s ON s.idx = t.j GROUP BY t.k""")
+def resample_sinc(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    s.rate = 1000.0
+    return _out(s.resample(1600.0), spark)
+
+
+def _spectra(spark, sf_dir) -> DataFrame:
+    return signal(spark, sf_dir).window(11, 8).fft(16).build(spark, RATE)
+
+
+#: Spectra of the same windows, summed out: element i lies at slot (i + 16 - head) mod 16 with head = n - ceil(n / 2).
+_FFT = f"""WITH {_S}, {_windows(11, 8)},
+z AS (SELECT wid, v, (i + 16 - (n - (n + 1) // 2)) % 16 AS t FROM w),
+f AS (SELECT wid, b.range AS i, sum(v * cos(2 * pi() * b.range * t / 16)) AS re, sum(v * sin(2 * pi() * b.range * t / 16)) AS im FROM z, range(0, 16) b GROUP BY ALL)"""
+
+
+@query(f"{_FFT} SELECT wid AS idx, i, round(10 * log10(re * re + im * im), 4) AS value FROM f WHERE i < 8")
+def fft_magnitude(spark, sf_dir):
+    df = _spectra(spark, sf_dir).select("idx", F.posexplode(spectral.magnitude(F.col("value"))).alias("i", "x"))
+    return df.select("idx", F.col("i").cast("long").alias("i"), F.round("x", 4).alias("value"))
+
+
+@query(f"{_FFT} SELECT wid AS idx, i, round(cos(atan2(im, re)), 4) AS c, round(sin(atan2(im, re)), 4) AS s FROM f WHERE i BETWEEN 1 AND 7")
+def fft_phase(spark, sf_dir):
+    df = _spectra(spark, sf_dir).select("idx", F.posexplode(spectral.phase(F.col("value"))).alias("i", "x")).where("i > 0")
+    return df.select("idx", F.col("i").cast("long").alias("i"), F.round(F.cos("x"), 4).alias("c"), F.round(F.sin("x"), 4).alias("s"))
+
+
+@query(f"WITH {_S}, {_windows(11, 8)} SELECT wid AS idx, i, round(v, 6) AS value FROM w")
+def fft_roundtrip(spark, sf_dir):
+    return _list(signal(spark, sf_dir).window(11, 8).fft(16).inverse_fft().build(spark, RATE))
+
+
+@query(f"""WITH {_S}, w AS (SELECT range AS wid FROM range(0, (SELECT CAST(ceil(count(*) / 8.0) AS BIGINT) FROM s)))
+SELECT wid AS idx, i.range AS i, i.range * 1000.0 / 16 AS hz, CAST(round_even(200.0 / 1000 * 16, 0) AS BIGINT) AS bin, CAST(trunc(wid * 8 / (1000.0::DOUBLE / 1e9)) AS BIGINT) AS ns FROM w, range(0, 8) i""")
+def fft_bins_frequency(spark, sf_dir):
+    v = F.col("value")
+    df = _spectra(spark, sf_dir).select("idx", F.posexplode(spectral.frequency(v)).alias("i", "hz"), spectral.bin_of(v, 200.0).alias("bin"), spectral.time_ns(v).alias("ns"))
+    return df.withColumn("i", F.col("i").cast("long"))
+
+
+_T = "t AS (SELECT CAST(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS BIGINT) * 1000 AS marker_ns, value FROM events)"
+
+
+def _table(spark, sf_dir) -> DataFrame:
+    df = _events(spark, sf_dir)
+    start = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    return df.select(((F.unix_micros(F.col("ts").cast("timestamp")) - start) * 1000).alias("marker_ns"), "value")
+
+
+@query(f"WITH {_T} SELECT * FROM t WHERE marker_ns > (SELECT max(marker_ns) FROM t) - 86400000000000")
+def table_last(spark, sf_dir):
+    return tables.last(_table(spark, sf_dir), TimeMeasure(1, "d"))
+
+
+@query(f"WITH {_T} SELECT * FROM t WHERE marker_ns >= 3600000000000 * 30 AND marker_ns < 3600000000000 * 90")
+def table_time_range(spark, sf_dir):
+    return tables.time_range(_table(spark, sf_dir), TimeMeasure(30, "h"), TimeMeasure(90, "h"))
+
+
+@query(f"WITH {_T} SELECT min(marker_ns) AS first_marker, max(marker_ns) AS last_marker FROM t")
+def table_first_last_marker(spark, sf_dir):
+    return _table(spark, sf_dir).agg(F.min("marker_ns").alias("first_marker"), F.max("marker_ns").alias("last_marker"))
+
+
+@query(f"WITH {_T} SELECT * FROM t WHERE marker_ns > (SELECT max(marker_ns) FROM t) - 86400000000000 * 7")
+def table_retention(spark, sf_dir):
+    return tables.retained(_table(spark, sf_dir), TimeMeasure(7, "d"))
+
+
+_MS = "epoch_ms(ts)"
+
+
+@query(f"SELECT event_type, CAST(floor({_MS} / 3600000.0) AS BIGINT) AS bucket, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def metric_counter_rollup(spark, sf_dir):
+    df = metrics.counter_rollup(_events(spark, sf_dir), F.unix_millis(F.col("ts").cast("timestamp")), F.col("value"), 3_600_000, "event_type")
+    return df.withColumn("value", F.round("value", 4))
+
+
+@query(f"SELECT CAST(floor({_MS} / 60000.0) AS BIGINT) AS bucket, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def metric_time_rollup(spark, sf_dir):
+    df = metrics.time_rollup(_events(spark, sf_dir), F.unix_millis(F.col("ts").cast("timestamp")), F.col("value"), 60_000)
+    return df.withColumn("total", F.round("total", 4))
+
+
+@query(f"""WITH e AS (SELECT *, CAST(floor({_MS} / 86400000.0) AS BIGINT) AS bucket, event_type = 'signup' AS st FROM events),
+r AS (SELECT *, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY bucket ORDER BY ts, event_id) AS era FROM e),
+m AS (SELECT bucket, max(era) AS top FROM r GROUP BY bucket)
+SELECT r.bucket, round(sum(r.value), 4) AS value, any_value(m.top) > 0 AS is_set FROM r JOIN m ON m.bucket = r.bucket AND r.era = m.top GROUP BY r.bucket""")
+def metric_gauge_rollup(spark, sf_dir):
+    df = metrics.gauge_rollup(_events(spark, sf_dir), F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_type") == "signup", F.col("value"), ["ts", "event_id"], 86_400_000)
+    return df.withColumn("value", F.round("value", 4))
+
+
+def _pcm(bits: int):
+    def run(spark, sf_dir):
+        df = (signal(spark, sf_dir) * 0.005 - 1.0).build(spark, RATE)
+        code = samples.as_int(F.col("value"), bits)
+        return df.select("idx", code.alias("code"), F.round(samples.sample_of(code, bits), 9).alias("value"))
+
+    return run
+
+
+for _bits, _max in ((8, 127), (16, 32767)):
+    _QUERIES[f"pcm{_bits}_roundtrip"] = _pcm(_bits)
+    _SQL[f"pcm{_bits}_roundtrip"] = f"""WITH {_S}, q AS (SELECT idx, CAST(round_even((v * 0.005::DOUBLE - 1) * {_max}, 0) AS BIGINT) AS c FROM s),
+c AS (SELECT idx, ((c + {_max + 1}) % {2 * _max + 2} + {2 * _max + 2}) % {2 * _max + 2} - {_max + 1} AS code FROM q)
+SELECT idx, code, round(code / {_max}.0::DOUBLE, 9) AS value FROM c"""
+
+
+def _managed(spark, sf_dir, flush: str, close: str, opening: str) -> DataFrame:
+    kind = F.col("event_type")
+    sig = F.when(kind == flush, F.lit(managed.FLUSH)).when(kind == close, F.lit(managed.CLOSE_GATE)).when(kind == opening, F.lit(managed.OPEN_GATE)).otherwise(F.lit(managed.NOOP))
+    df = _events(spark, sf_dir).withColumn("idx", F.struct("ts", "event_id"))
+    found = managed.files(df, sig, F.col("event_id"), ["user_id"])
+    return found.groupBy("user_id", "file_no", F.coalesce("suffix_argument", F.lit(-1)).alias("suffix_argument")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH e AS (SELECT *, event_type = 'purchase' AND row_number() OVER o > 1 AS st FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, CAST(sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS file_no FROM e)
+SELECT user_id, file_no, coalesce(max(CASE WHEN st THEN event_id END), -1) AS suffix_argument, count(*) AS n, round(sum(value), 4) AS total FROM f GROUP BY user_id, file_no""")
+def managed_flush_files(spark, sf_dir):
+    return _managed(spark, sf_dir, "purchase", "none", "none")
+
+
+@query("""WITH g AS (SELECT *, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 END AS gate FROM events),
+h AS (SELECT *, coalesce(last_value(gate IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS is_open,
+  coalesce(last_value(gate IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS was_open FROM g),
+f AS (SELECT *, gate = 1 AND was_open = 0 AS st, CAST(sum(CASE WHEN gate = 1 AND was_open = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS file_no FROM h)
+SELECT user_id, file_no, coalesce(max(CASE WHEN st THEN event_id END), -1) AS suffix_argument, count(*) AS n, round(sum(value), 4) AS total FROM f WHERE is_open = 1 GROUP BY user_id, file_no""")
+def managed_gate(spark, sf_dir):
+    return _managed(spark, sf_dir, "none", "error", "signup")
+
+
+@query(f"WITH {_S} SELECT idx, CAST(CAST(trunc(idx / (1000.0::DOUBLE / 1000)) AS BIGINT) AS VARCHAR) || ',' || printf('%.10f', v) AS line FROM s")
+def csv_sample_lines(spark, sf_dir):
+    return sinks.sample_lines(signal(spark, sf_dir).build(spark, RATE), RATE)
+
+
+@query("SELECT range AS idx, round(0.5 * cos(2 * pi() * 440 * (0.25 + range / 1000.0::DOUBLE)), 6) AS value FROM range(0, 3000)")
+def sine(spark, sf_dir):
+    return _out(Stream.sine(440.0, 0.5, 0.25).trim(3, "s"), spark)
+
+
+@query("SELECT range AS idx, round(0.5 * cos(2 * pi() * (range / 1000.0::DOUBLE) * (64 + 0.1 * floor(least(range, 1999) / 21))), 6) AS value FROM range(0, 3000)")
+def sine_sweep(spark, sf_dir):
+    return _out(Stream.sine_sweep(64.0, 1024.0, 0.5, 2.0).trim(3, "s"), spark)
+
+
+@query("SELECT range AS idx, round(sqrt(range) / 1000, 6) AS value FROM range(0, 2000)")
+def function_input(spark, sf_dir):
+    fn = lambda i, rate: F.when(i < 2000, F.sqrt(i.cast("double")) / rate)
+    return _out(Stream.generate(fn, ends_at_null=True).trim(5, "s"), spark)
+
+
+@query(f"WITH {_S} SELECT idx, round(round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767, 9) AS value FROM s")
+def wav_write_read(spark, sf_dir):
+    import tempfile
+
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='streamloom-')}/signal-{id(spark)}.wav"
+    pcm.write_wav(signal(spark, sf_dir) * 0.004 - 1.0, spark, path, RATE, 16)
+    return _out(pcm.wave(spark, path, resample=False), spark, 9)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
