@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import decontamination, packing, quality_model, quality_rules, simhash, surrogates, toxicity, warc
+from streamloom.llm import decontamination, packing, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, warc
 from streamloom.llm.common import held_out
 
 
@@ -55,6 +55,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "web.1")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.fails("base.1").alias("base_failed"), "kept", "fail_bits")
