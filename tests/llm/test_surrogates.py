@@ -1,0 +1,52 @@
+"""Surrogates: types, formats, distinctness, coreference."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from streamloom.llm import surrogates as s
+
+TEXTS = {
+    1: "Mr. John Smith and Mrs Smith met Mr John Smith, JOHN.12@MAIL5.EXAMPLE.COM = john.12@mail5.example.com; +1 (017) 555-7713.",
+    2: "card 4785 3805 9239 1139, 4785380592391139!! ip 10.2.3.44. v4.0. SSN 123-45-6789 GB29 NWBK 6016 1331 9268 19",
+    3: 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"### Госпожа Анна Каренина, Госпожа Каренина, Κυρία Μαρία Παππά',
+    4: None,
+    5: "a" * 30000 + "@",
+    6: "Version 2.0. plain 12 34, 2024-01-02 text 300.1.1.1",
+    7: "",
+    8: "john.12@mail5.example.com " * 3000,
+}
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "clash", 1) for i, t in texts.items()], "doc_id long, text string, found string, sig int")
+
+
+def test_formats_and_coreference(spark):
+    rows = s.pseudonymise(frame(spark, TEXTS), "key", count_col="n").collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert {r.doc_id: r.n for r in rows} == {1: 6, 2: 5, 3: 4, 4: 0, 5: 0, 6: 0, 7: 0, 8: 3000}
+    assert all(r.found == "clash" and r.sig == 1 for r in rows)
+    assert {i: got[i] for i in (4, 5, 6, 7)} == {i: TEXTS[i] for i in (4, 5, 6, 7)}
+    m = re.fullmatch(r"Mr\. (\w+ \w+) and Mrs (\w+) met Mr (\w+ \w+), (\S+) = (\S+); (\+1 \(\d{3}\) \d{3}-\d{4})\.", got[1])
+    assert m and m[1] == m[3] and m[4].lower() == m[5] and m[4].isupper() and re.fullmatch(r"[a-z]{4}\.\d\d@[a-z]{4}\d\.example\.com", m[5])
+    assert m[1].split()[0] in s.GIVEN["latin", "m"] and "Smith" not in got[1] and "555-7713" not in got[1]
+    c = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}), (\d{16})!! ip (\d+\.\d+\.\d+\.\d+)\. v4\.0\. SSN (\d{3}-\d\d-\d{4}) GB\d\d \S{4} \d{4} \d{4} \d{4} \d\d", got[2])
+    assert c and c[1].replace(" ", "") == c[2] != "4785380592391139"
+    assert re.search(r'"[0-9a-f]{40}"###', got[3]) and "24be" not in got[3]
+    assert re.search(r"Госпожа (?:" + "|".join(s.GIVEN["cyrillic", "f"]) + r") [А-я]+, Госпожа [А-я]+, Κυρία", got[3]) and "Каренин" not in got[3]
+    assert set(got[8].split()) == {m[5]}
+
+
+def test_another_key_and_repeated_rows(spark):
+    df = frame(spark, {1: TEXTS[1]})
+    a = {r.text for r in s.pseudonymise(df.union(df), "one").collect()}
+    assert len(a) == 1 and a != {r.text for r in s.pseudonymise(df, "two").collect()}
+    assert s.pseudonymise(df.limit(0), "one").count() == 0
+
+
+def test_collisions_are_drawn_again(spark):
+    """So many short values that first draws must collide with each other and with real values."""
+    known = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%04d", "id").alias("canon"))
+    got = s.assign(known, "key").toPandas()
+    assert len(got) == 3000 and got.surrogate.is_unique and not set(got.surrogate) & set(got.canon)
