@@ -40,23 +40,28 @@ SYLLABLES = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Kinds and their patterns, in the order in which they are tried.
+#: Kinds and their patterns, in the order in which they are tried where a run of letters or digits begins.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])",
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "ip": rf"(?<![\p{{N}}.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "email": r"(?<![._+-])[\p{L}\p{N}._+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "secret": r"(?=[A-Fa-f]{0,63}[0-9])[A-Fa-f0-9]{32,64}+(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "card": r"[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\p{L}\p{N}])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
+    "ip": rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?![0-9])",
+    "name": rf"(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
-ENTITY = "|".join(PATTERNS.values())
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
+
+
+#: What every text with an entity has.
+GUARD = rf"[0-9@]|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}"
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    """The entities of a text, in order; none of a null text."""
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(text.rlike(GUARD), F.lit(False)), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def kind_of(found: Column) -> Column:
@@ -187,9 +192,19 @@ def render(mention: Column, kind: Column, surrogate: Column) -> Column:
     )
 
 
-def mentions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """mention, kind, canon, replacement of every distinct mention in docs."""
-    found = docs.select(F.explode(F.array_distinct(entities(F.col(text_col)))).alias("mention")).distinct()
+def entity_lists(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """sig, found of every distinct list of entities that a text of docs has."""
+    found = docs.select(entities(F.col(text_col)).alias("found")).where(F.size("found") > 0)
+    return materialize(found.withColumn("sig", _signature("found")).groupBy("sig").agg(F.first("found").alias("found")), "pii-lists")
+
+
+def _signature(found: str) -> Column:
+    return F.sha2(F.array_join(found, "\x1f"), 256)
+
+
+def mentions(lists: DataFrame, key: str) -> DataFrame:
+    """mention, kind, canon, replacement of every distinct mention in lists of entities."""
+    found = lists.select(F.explode(F.array_distinct("found")).alias("mention")).distinct()
     found = materialize(found.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("mention"), F.col("kind"))), "pii-mentions")
     given = assign(found.select("kind", "canon").distinct(), key)
     return materialize(found.join(given, ["kind", "canon"]).select("mention", "kind", "canon", render(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("replacement")), "pii-map")
@@ -197,12 +212,10 @@ def mentions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with all entities of the text replaced; count_col: also how many there were."""
-    table = mentions(docs, key, text_col)
-    text = F.col(f"`{text_col}`")
-    dirty = F.coalesce(text.rlike(ENTITY), F.lit(False))
-    boxed = docs.where(dirty).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    listed = boxed.withColumn("found", entities(F.col("doc")[text_col])).withColumn("sig", F.sha2(F.array_join("found", "\x1f"), 256))
-    lists = materialize(listed.groupBy("sig").agg(F.first("found").alias("found")), "pii-lists")
+    lists = entity_lists(docs, text_col)
+    table = mentions(lists, key)
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), entities(F.col(f"`{text_col}`")).alias("found"))
+    listed = boxed.where(F.size("found") > 0).withColumn("sig", _signature("found"))
     maps = lists.select("sig", F.explode(F.array_distinct("found")).alias("mention")).join(table.select("mention", "replacement"), "mention")
     maps = materialize(maps.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("to")), "pii-maps")
     between = F.split(F.col("doc")[text_col], ENTITY, -1)
@@ -210,6 +223,6 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     fields = [F.col("doc").getField(c).alias(c) if c != text_col else spliced.alias(c) for c in docs.columns]
     extra = [F.size("found").cast("long").alias(count_col)] if count_col else []
     changed = listed.join(maps, "sig").select(*fields, *extra)
-    clean = docs.where(~dirty)
+    clean = docs.where(F.size(entities(F.col(f"`{text_col}`"))) == 0)
     clean = clean.withColumn(count_col, F.lit(0).cast("long")) if count_col else clean
     return clean.unionByName(changed)
