@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import decontamination, packing, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, warc
+from streamloom.llm import decontamination, licences, packing, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, warc
 from streamloom.llm.common import held_out
 
 
@@ -41,6 +41,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.col("text"), ["doc_id"])
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality_model.train(docs, _table(spark, sf_dir, "labels"))
@@ -131,4 +136,4 @@ FROM p LEFT JOIN f USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc_roundtrip": OP10_SQL}
+    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc_roundtrip": OP10_SQL}
