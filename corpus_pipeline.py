@@ -23,13 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    found = simhash.simhash_components(docs)
-    stay = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("stay_id")), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    if stay.where("n > 1").isEmpty():
-        return kept
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    """One row of each SimHash component: the one with the smallest id; of several, and of null ids, any one.
+
+    Rows are told apart by a written row key, not by their ids, which may be null or repeated."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), "dedup-rows")
+    found = simhash.simhash_components(rows.select("row", F.col("doc.text").alias("text")), id_col="row")
+    of = materialize(found.select(F.col("doc_id").alias("row"), "component_id"), "dedup-components")
+    order = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))
+    stay = rows.select("row", order.alias("order")).join(of, "row").groupBy("component_id").agg(F.min("order").getField("row").alias("row"))
+    return rows.join(materialize(stay.select("row"), "stay"), "row", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
