@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import decontamination, packing, quality_model, simhash, surrogates
+from streamloom.llm import decontamination, packing, quality_model, surrogates
 from streamloom.llm.common import materialize
+from streamloom.llm.near_copies import near_copies
 from streamloom.llm.queries import PII_KEY, tokenizer
 
 QUALITY_THRESHOLD = 0.3
@@ -23,15 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: the one with the smallest id; of several, and of null ids, any one.
+    """One row of each component of near-copies (five-word Jaccard >= 0.8): the one with the smallest id; of several, and of
+    null ids, any one.
 
     Rows are told apart by a written row key, not by their ids, which may be null or repeated."""
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     rows = materialize(docs.select(doc, F.monotonically_increasing_id().alias("row")), "dedup-rows")
-    found = simhash.simhash_components(rows.select("row", F.col("doc.text").alias("text")), id_col="row")
-    of = materialize(found.select(F.col("doc_id").alias("row"), "component_id"), "dedup-components")
+    found = near_copies(rows.select(F.col("row").alias("key"), F.col("doc.text").alias("text")))
+    of = materialize(found.select(F.col("key").alias("row"), "component"), "dedup-components")
     order = F.struct(F.col("doc.doc_id").isNull(), F.col("doc.doc_id"), F.col("row"))
-    stay = rows.select("row", order.alias("order")).join(of, "row").groupBy("component_id").agg(F.min("order").getField("row").alias("row"))
+    stay = rows.select("row", order.alias("order")).join(of, "row").groupBy("component").agg(F.min("order").getField("row").alias("row"))
     return rows.join(materialize(stay.select("row"), "stay"), "row", "left_semi").select("doc.*")
 
 

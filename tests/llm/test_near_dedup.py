@@ -1,5 +1,7 @@
 """Near-duplicates of the pipeline where ids don't tell rows apart."""
 
+import numpy as np
+
 import corpus_pipeline as p
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars int"
@@ -19,3 +21,32 @@ def test_null_and_repeated_ids_with_different_texts(spark):
     got = [(r.doc_id, r.text) for r in p.near_dedup(spark, frame(spark, rows), "").collect()]
     assert sorted(got, key=repr) == sorted([(9, a), (None, b), (7, c), (7, d), (3, e)], key=repr)
     assert p.near_dedup(spark, frame(spark, []), "").count() == 0
+
+
+def shingles(text):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def test_near_copies_against_brute_force_jaccard(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for i in range(30):
+        base = list(rng.choice([f"w{k}" for k in range(500)], int(rng.integers(80, 300))))
+        texts[i] = " ".join(base)
+        for v in range(3):
+            changed = list(base)
+            for k in rng.integers(0, len(base), int(rng.integers(1, 6))):
+                changed[k] = "changed"
+            texts[100 * (v + 1) + i] = "\n".join(changed).upper() if v == 0 else " ".join(changed)
+    texts |= {900: None, 901: "", 902: "one two", 903: "ONE  two", 904: "one three"}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    while True:
+        again = {a: min(label[b] for b in texts if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0) for a in texts}
+        if again == label:
+            break
+        label = again
+    want = sorted({label[i] for i in texts})
+    df = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in texts.items()], COLUMNS)
+    assert sorted(r.doc_id for r in p.near_dedup(spark, df, "").collect()) == want
