@@ -6,9 +6,9 @@ once. The discount is in proportion to the class's size and the interpolation we
 rare to tell the classes apart gets the same probability from both. (A class-conditional bigram level over these unigrams
 was tried; its backoff weights differ by class for reasons of sample size alone, and held-out AUC fell from 0.88 to 0.60.)
 
-Counts come from a bounded sample of labelled rows (features.labelled_sample). Words are hashed, so the model is a fixed
-number of counts whatever the input. A part of the sample is left out of the counts and calibrates the difference of mean
-log-likelihoods into a score.
+Class counts come from all labelled rows that are not held out, shared counts from all rows, labelled or not. Words are
+hashed, so the model is a fixed number of counts whatever the input. A bounded sample of labelled rows is left out of the
+class counts and calibrates the difference of mean log-likelihoods into a score.
 
 Defined results: a null or wordless text has difference 0 and gets the calibration's intercept; without labelled rows of
 both classes every score is 0 (below 1e-15); repeated rows are scored each; other columns are kept as they are.
@@ -25,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import materialize
-from streamloom.llm.features import HashedWords, labelled_sample
+from streamloom.llm.common import held_out, materialize
+from streamloom.llm.features import HashedWords
 
 WORDS = 1 << 18
 PATTERN = r"\w+"
 SAMPLE_ROWS = 24_000
+#: Most pairs of words that a task keeps before it sends the distinct ones on.
+HELD_PAIRS = 1 << 22
+#: Up to so many labels are broadcast, so that texts stay where they are; more are joined by a shuffle.
+SENT_LABELS = 1 << 20
 #: The discount of a word's contexts, as a share of all contexts of its class.
 DISCOUNT = 1.5e-4
 #: Weight of the counts that both classes share.
@@ -39,7 +43,7 @@ BACKOFF = 0.95
 
 @dataclass
 class Model:
-    """Distinct contexts of each word by class (row 0 ordinary, row 1 toxic) and in both together, and the calibration
+    """Distinct contexts of each word by class (row 0 ordinary, row 1 toxic) and in all rows together, and the calibration
     score = 1 / (1 + exp(-(a x + b)))."""
 
     contexts: np.ndarray
@@ -56,20 +60,32 @@ class Model:
         return np.log(p[1]) - np.log(p[0])
 
 
-def count(sample: DataFrame) -> Model:
-    """The model's counts from rows (text, y); distinct pairs are counted in Spark and only bucket sums reach the driver."""
+def count(rows: DataFrame) -> Model:
+    """The model's counts from rows (text, y), where y is null for rows of no class; distinct pairs are counted in Spark and
+    only bucket sums reach the driver."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = HashedWords(PATTERN, WORDS, lower=True)
+        held, size = [], 0
+
+        def distinct() -> pa.RecordBatch:
+            key = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_pydict({"key": pa.array(key >> 2), "y": pa.array(key & 3)})
+
         for b in batches:
-            found = [np.concatenate(([0], hashed.ids(t.as_py()))) for t in b.column(0)]
-            key = np.concatenate([(i[:-1] << 18) + i[1:] for i in found] or [np.empty(0, np.int64)])
-            y = np.repeat(b.column(1).to_numpy(), [len(i) - 1 for i in found])
-            key = np.unique(2 * key + y)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key >> 1), "y": pa.array(key & 1)})
-
-    seen = sample.select("text", F.least(F.greatest("y", F.lit(0)), F.lit(1)).alias("y")).mapInArrow(extract, "key long, y long")
-    grams = seen.groupBy("key").agg(F.max(1 - F.col("y")).alias("in0"), F.max("y").alias("in1"))
+            for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                ids = np.concatenate(([0], hashed.ids(text.as_py())))
+                held.append((((ids[:-1] << 18) + ids[1:]) << 2) + y)
+                size += len(ids) - 1
+                if size >= HELD_PAIRS:
+                    yield distinct()
+                    held, size = [], 0
+        if size:
+            yield distinct()
+
+    of_class = F.when(F.col("y").isNull(), 2).otherwise(F.least(F.greatest("y", F.lit(0)), F.lit(1)))
+    seen = rows.select("text", of_class.cast("long").alias("y")).mapInArrow(extract, "key long, y long")
+    grams = seen.groupBy("key").agg(F.max((F.col("y") == 0).cast("int")).alias("in0"), F.max((F.col("y") == 1).cast("int")).alias("in1"))
     word = F.col("key").bitwiseAND(F.lit(WORDS - 1)).alias("at")
     sums = grams.groupBy(word).agg(F.sum("in0").alias("c0"), F.sum("in1").alias("c1"), F.count("*").alias("shared")).toPandas()
     out = np.zeros((3, WORDS))
@@ -104,13 +120,22 @@ def differences(docs: DataFrame, model: Model, text_col: str = "text", out: str
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Counts from three quarters of the sample, calibration on the fourth."""
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    sample = materialize(labelled_sample(docs, labels, label, sample_rows, id_col, text_col), "toxicity-sample")
-    model = count(sample.where(fold != 4))
+    """Class counts from the labelled rows, shared counts from all rows; calibration on a quarter of a sample of the labelled
+    ones, which the class counts leave out. A label that is null counts as absent; of several, the largest holds."""
+    usable = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_col)))
+    n = usable.count()
+    share = min(1 << 30, (sample_rows << 30) // max(1, n))
+    known = materialize(usable.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label).cast("int").alias("y")), "toxicity-labels")
+    fold = F.crc32(F.col("label_id").cast("string").cast("binary")) % 5
+    calibrates = (fold == 4) & (F.pmod(F.xxhash64(F.lit(11), F.col("label_id")), F.lit(1 << 30)) < share)
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = known.where(~calibrates)
+    counted = text.join(F.broadcast(counts) if n <= SENT_LABELS else counts, F.col("id") == F.col("label_id"), "left")
+    model = count(counted)
     if not (model.contexts.sum(axis=1) > 0).all():
         return model
-    rest = differences(sample.where(fold == 4), model).select("difference", "y").toPandas()
+    sample = text.join(F.broadcast(known.where(calibrates)), F.col("id") == F.col("label_id")).select("text", "y")
+    rest = differences(sample, model).select("difference", "y").toPandas()
     if rest["y"].nunique() == 2:
         model.a, model.b = calibrate(rest["difference"].to_numpy(), rest["y"].to_numpy())
     return model
