@@ -66,6 +66,13 @@ def _remove(spark: SparkSession) -> None:
         _made.discard(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, with "_" appended until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of all ids that no model learns from; a null id is never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
