@@ -6,9 +6,8 @@ item misses fewer than k of its shingles, so it has at least one of any k. A doc
 a sketch, whatever its length, and none is missed. Candidates are verified by the exact share of the item's shingles that
 the whole document has.
 
-Documents are read once. A table of SLOTS bytes over the items' shingle hashes, a literal of the plan and of that size
-whatever the input, drops all other shingles of a document within its row, so that only what may be shared with an
-item is kept, joined and verified. False positives of a crowded table only cost time.
+Documents are read once. Only the shingles that an item also has go on: the items' shingles are sent to all tasks up to SENT of
+them; more are told by a table of bits of fixed size, and what it lets through is joined by a shuffle.
 
 All of it is DataFrame functions. Words are runs of letters and digits in lower case, a shingle is 5 of them, its hash has
 64 bits. Defined results: an item of fewer than 5 words has no shingle and matches nothing; null texts have no words;
@@ -20,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import materialize
+from streamloom.llm.common import likely, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Bytes of the table that tells whether an item may have a shingle.
-SLOTS = 1 << 22
+#: Most shingles of items (16 bytes each) that are broadcast.
+SENT = 1 << 20
 
 
 def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
@@ -51,26 +50,17 @@ def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     return rows.select("item_id", "item", F.size("item").alias("n_item"), F.slice(F.array_sort("item"), F.lit(1), k.cast("int")).alias("sketch"))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
-def slots(items: DataFrame) -> Column:
-    """A binary literal with a one at each slot that a shingle of any item falls in."""
-    used = items.select(F.explode("item").alias("h")).select(_slot(F.col("h")).alias("slot")).distinct().toPandas()["slot"]
-    found = bytearray(SLOTS)
-    for k in used:
-        found[k] = 1
-    return F.lit(bytes(found))
-
-
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, sent: int = SENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_item and containment of every document and item with containment of at least threshold."""
     known = materialize(item_sketches(items, item_id, item_text, threshold), "leak-items")
-    used = slots(known)
-    hashes = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(F.col(text_col)).alias("h"))
-    near = F.filter("h", lambda x: F.substring(used, _slot(x) + 1, F.lit(1)) == F.lit(b"\x01"))
-    hits = materialize(hashes.select(F.monotonically_increasing_id().alias("row"), "doc_id", near.alias("hits")).where(F.size("hits") > 0), "leak-hits")
+    wanted = materialize(known.select(F.explode("item").alias("wanted")).distinct(), "leak-shingles")
+    listed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), shingle_hashes(F.col(f"`{text_col}`")).alias("hashes"))
+    hashes = listed.select("row", "doc_id", F.explode("hashes").alias("h"))
+    if wanted.count() <= sent:
+        shared = hashes.join(F.broadcast(wanted), F.col("h") == F.col("wanted"), "left_semi")
+    else:
+        shared = likely(hashes, F.col("h"), wanted)[0].join(wanted, F.col("h") == F.col("wanted"), "left_semi")
+    hits = materialize(shared.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list("h").alias("hits")), "leak-hits")
     sketch = known.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "item", "n_item", "sketch")
     sketch = materialize(sketch, "leak-sketches")
     met = hits.select("row", F.explode("hits").alias("h")).join(sketch.select("item_row", F.explode("sketch").alias("h")), "h").select("row", "item_row").distinct()

@@ -47,6 +47,9 @@ def test_matches_brute_force(spark):
     docs, items = cases()
     got = d.contained(spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, hits int"), spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, sketch int"))
     assert {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in got.collect()} == brute(docs, items)
+    # More shingles of items than may be sent to all tasks.
+    other = d.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), sent=0)
+    assert sorted(map(tuple, other.collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
 
 
 def test_empty_tables(spark):
