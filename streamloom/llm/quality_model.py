@@ -6,7 +6,8 @@ of 2**18 weights whatever the input. Scoring: the sparse dot product of a docume
 with the weights, in Arrow batches over whole texts.
 
 Defined results: a null or empty text has no n-grams and gets the score of the bias alone; without labelled rows
-all weights are zero and every score is 0.5; repeated rows are scored each; other columns are kept as they are.
+all weights are zero and every score is 0.5; repeated rows are scored each; all columns of docs are kept, and where one has
+the name of the new column, the new one gets "_" appended until it is free; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.llm.common import free_name
 from streamloom.llm.features import HashedWords, labelled_sample, pairs
 
 BUCKETS = 1 << 18
@@ -99,4 +101,4 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out: str
                 logits[k] = np.dot(w[at], x) + w[BUCKETS]
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -35, 35))))
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return docs.withColumn(free_name(docs.columns, out), run(F.col(f"`{text_col}`")))

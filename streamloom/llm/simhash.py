@@ -36,6 +36,15 @@ FRONTIER = 1 << 19
 LEAF = 8
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (uint64), as an unsigned number."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 8192):
+        part = np.ascontiguousarray(hashes[at : at + 8192])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist())
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The SimHash of one text, as an unsigned number."""
     words = (text or "").encode().lower().split()
@@ -48,11 +57,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * ones > len(hashes)).tolist())
+    return majority(hashes)
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:

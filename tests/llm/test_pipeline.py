@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as p
-from streamloom.llm import quality_model, simhash, surrogates
+from streamloom.llm import quality_model, surrogates
 from streamloom.llm.features import HashedWords
 from streamloom.llm.queries import tokenizer
 from streamloom.llm.packing import chunk_ids
 from tests.llm.test_decontamination import grams
+from tests.llm.test_near_dedup import shingles
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,15 +40,16 @@ def test_quality(spark, stages):
 
 
 def test_near_dedup(stages):
+    """The contract of near-duplicates on word shingles: five words, Jaccard similarity of 0.8 or more."""
     before, after = stages[1][2], stages[2][2]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before}
-    label = {i: i for i in prints}
+    sets = {r["doc_id"]: shingles(r["text"]) for r in before}
+    label = {i: i for i in sets}
     while True:
-        again = {a: min(label[b] for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2) for a in prints}
+        again = {a: min(label[b] for b in sets if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0) for a in sets}
         if again == label:
             break
         label = again
-    assert sorted(r["doc_id"] for r in after) == sorted(i for i in prints if label[i] == i)
+    assert sorted(r["doc_id"] for r in after) == sorted(i for i in sets if label[i] == i)
 
 
 def test_decontaminate(spark, stages):
@@ -74,3 +76,21 @@ def test_pack_and_run(spark, stages):
     assert {r["doc_id"]: sum(x["length"] for x in pieces if x["doc_id"] == r["doc_id"]) for r in docs} == {r["doc_id"]: len(ids.encode(r["text"])) // 4 + 1 for r in docs}
     key = lambda r: (r["doc_id"], r["start"])
     assert sorted((r.asDict() for r in p.run(spark, DATA).collect()), key=key) == sorted(pieces, key=key)
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, columns whose names clash, and empty tables."""
+    words = " ".join(f"word{k % 997}" for k in range(30_000))
+    rows = [(1, words, "en", None, 5, 0.5, "k"), (1, words, "en", None, 5, 0.5, "k"), (None, None, None, None, None, None, None), (2, "", "de", "w", 0, 0.1, "k"), (3, " \n ", None, "w", 3, None, "l"), (None, "Mr. John Smith wrote to a@b.com about it.", "en", "w", 9, 0.2, "m")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, score double, row string")
+    kept = {}
+    for name, stage in p.STAGES:
+        got = stage(spark, odd, DATA)
+        if name != "pack":
+            assert got.columns == odd.columns
+        kept[name] = got.collect()
+        assert stage(spark, odd.limit(0), DATA).count() == 0
+    assert len(kept["near_dedup"]) == 3 and len(kept["decontaminate"]) == len(kept["private_data"]) == 6
+    assert sorted(r.doc_id or 0 for r in kept["near_dedup"]) == [0, 1, 2]
+    assert {r.doc_id for r in kept["pack"]} == {1, 2, 3, None}
+    assert all(r.score == 0.2 and "a@b.com" not in r.text for r in kept["private_data"] if r.row == "m")
