@@ -104,9 +104,10 @@ def range_projection(spark, sf_dir):
     return _out(signal(spark, sf_dir).range_projection(200, 900), spark)
 
 
-@query(f"WITH {_P} SELECT r.range AS idx, round(coalesce(v, -1), 6) AS value FROM range(0, 5000) r LEFT JOIN p ON p.idx = r.range")
+@query(f"WITH {_P} SELECT r.range AS idx, round(coalesce(v, -1), 6) AS value FROM range(0, (SELECT count(*) FROM events)) r LEFT JOIN p ON p.idx = r.range")
 def after_filling(spark, sf_dir):
-    return _out(purchases(spark, sf_dir).after_filling(-1.0).trim(5000), spark)
+    # Filled up to the length of the whole signal, at 1000 Hz an element a millisecond.
+    return _out(purchases(spark, sf_dir).after_filling(-1.0).trim(_events(spark, sf_dir).count()), spark)
 
 
 @query(f"WITH {_S}, {_P} SELECT coalesce(s.idx, p.idx) AS idx, round(coalesce(s.v, 0) + 2 * coalesce(p.v, 0), 6) AS value FROM s FULL JOIN p ON s.idx = p.idx")

@@ -1,37 +1,84 @@
-"""Dense 0-based positions for tables in an order, without sorting everything in one task."""
+"""Dense 0-based positions, and running sums along them, for tables in an order, without sorting everything in one task.
+
+The table is dealt to ranges of all its ordering columns, sorted within them and written; a row's place in its range is
+counted there, and what lies before a range is a sum over ranges. The plan has the same size whatever the number of rows, and
+what the driver sees is a row for each range, of which there are as many as shuffle partitions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one range of the order holds, about.
-RANGE_ROWS = 500_000
+from streamloom.scratch import materialize
+
+#: monotonically_increasing_id() is the partition's number and, in so many bits, the row's place in it.
+PLACE_BITS = 33
+
+
+def ranged(df: DataFrame, order_by: list[str]) -> tuple[DataFrame, str, str]:
+    """df in a written table of ordered ranges, with the numbers of a row's range and of its place there, and their names.
+    Nulls come first."""
+    part, place = _free(df, "part"), _free(df, "place")
+    id_ = _free(df, "id")
+    dealt = df.repartitionByRange(*(F.col(f"`{c}`") for c in order_by)).sortWithinPartitions(*(F.col(f"`{c}`") for c in order_by))
+    written = materialize(dealt.withColumn(id_, F.monotonically_increasing_id()), "ranged")
+    mask = (1 << PLACE_BITS) - 1
+    return written.withColumns({part: F.shiftright(id_, PLACE_BITS), place: F.col(id_).bitwiseAND(F.lit(mask))}).drop(id_), part, place
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while f"_{name}".lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return f"_{name}"
+
+
+def carry(rows: DataFrame, part: str, place: str, column: Column, name: str, how: str, inclusive: bool = False) -> DataFrame:
+    """rows of ranged() with the sum, the greatest or the last value that is not null of column, over all rows before each one,
+    or up to it; null where there is none.
+
+    Each range is summed up, the driver goes over the summaries, one for each range, and each range goes on from there."""
+    whole = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    at, given_name = _free(rows, "range"), _free(rows, "given")
+    given, so_far_here = F.col(given_name), F.col(name)
+    known = F.when(column.isNotNull(), F.col(place))
+    if how == "sum":
+        inner, total = F.sum(column).over(whole), F.sum(column)
+        combine = lambda a, b: b if a is None else a if b is None else a + b
+        both = F.coalesce(given + so_far_here, given, so_far_here)
+    elif how == "max":
+        inner, total = F.max(column).over(whole), F.max(column)
+        combine = lambda a, b: b if a is None else a if b is None else max(a, b)
+        both = F.greatest(given, so_far_here)
+    else:
+        inner, total = F.last(column, ignorenulls=True).over(whole), F.max_by(column, known)
+        combine = lambda a, b: a if b is None else b
+        both = F.coalesce(so_far_here, given)
+    sums = rows.groupBy(part).agg(total.alias("total"))
+    found = sorted(((r[0], r[1]) for r in sums.collect()), key=lambda r: r[0])
+    starts, so_far = [], None
+    for k, value in found:
+        starts.append((k, so_far))
+        so_far = combine(so_far, value)
+    kind = sums.schema["total"].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(starts, f"`{at}` long, `{given_name}` {kind}")
+    carried = rows.withColumn(name, inner).join(F.broadcast(table), F.col(part) == F.col(at))
+    return carried.withColumn(name, both).drop(at, given_name)
 
 
 def dense_index(df: DataFrame, order_by: list[str], name: str = "idx", keys: list[str] | None = None) -> DataFrame:
     """df with the position of each row in the order of order_by, within each of keys if given.
 
-    Without keys the rows go to ranges of the first ordering column (approximate quantiles; their number follows the
-    row count), are numbered within their range, and shifted by the counts of the ranges before it. The order must be
-    total for the result to be determined; rows with a null in the first column come first.
-    """
+    The order must be total for the result to be determined; nulls come first. A column `name` of df is replaced."""
     if keys:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1).cast("long"))
-    first = F.col(order_by[0])
-    kind = df.schema[order_by[0]].dataType.typeName()
-    n = df.count()
-    ranges = -(-n // RANGE_ROWS)
-    if ranges <= 1 or kind not in ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz", "decimal"):
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order_by)) - 1).cast("long"))
-    marks = sorted(set(df.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []))
-    part: Column = F.lit(0)
-    for m in marks:
-        part = part + F.when(first > F.lit(m), F.lit(1)).otherwise(F.lit(0))
-    parted = df.withColumn("_part", part)
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    numbered = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)))
-    # One row for each range, of which there are at most rows / RANGE_ROWS.
-    placed = numbered.join(F.broadcast(before), "_part")
-    return placed.withColumn(name, (F.col("_k") - 1 + F.coalesce("_before", F.lit(0))).cast("long")).drop("_part", "_k", "_before")
+    kept = df.drop(name) if name not in order_by else df
+    rows, part, place = ranged(kept, order_by)
+    placed = carry(rows, part, place, F.lit(1).cast("long"), name, "sum")
+    return placed.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("long"))).drop(part, place)
+
+
+def running_sum(df: DataFrame, value: Column, name: str, order_by: str = "idx") -> DataFrame:
+    """df with the sum of value over all rows before each one, 0 for the first."""
+    rows, part, place = ranged(df, [order_by])
+    return carry(rows, part, place, value, name, "sum").withColumn(name, F.coalesce(F.col(name), F.lit(0))).drop(part, place)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.operators import indexing
+
 
 def window_ids(idx: Column, size: int, step: int) -> Column:
     """The windows that hold a position."""
@@ -55,22 +57,16 @@ def padded(elements: Column, size: Column | int, zero: Column) -> Column:
     return F.concat(elements, F.array_repeat(zero, F.greatest(size - F.size(elements), F.lit(0))))
 
 
-def flatten_windows(df: DataFrame, zero: Column | None = None, resolve: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def flatten_windows(df: DataFrame, zero: Column | None = None, resolve: Callable[[Column, Column], Column] | None = None, step: int | None = None) -> DataFrame:
     """Elements at their positions again. Windows are padded to their size and gaps filled with zero; overlapping elements are
     added, or folded by resolve(following, current) from the first window on. Of more than two at a position all are folded.
-    Windows are placed one after the other by the steps of those before them."""
+    Windows are placed one after the other by the steps of those before them; step: all have this one, and positions are a product."""
     zero = F.lit(0.0) if zero is None else zero
     v = F.col("value")
-    steps = df.select(v["step"].alias("step")).distinct().limit(2).collect()
-    if len(steps) <= 1:
-        start = F.col("idx") * v["step"]
-        placed = df
+    if step is not None:
+        placed, start = df, F.col("idx") * step
     else:
-        from pyspark.sql import Window
-
-        # Mixed steps: positions are a running sum over windows, which are few beside their elements.
-        placed = df.withColumn("start", F.coalesce(F.sum(v["step"]).over(Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        start = F.col("start")
+        placed, start = indexing.running_sum(df, v["step"].cast("long"), "start"), F.col("start")
     cells = placed.select("idx", start.cast("long").alias("start"), F.posexplode(padded(v["elements"], F.greatest(v["size"], v["step"]), zero)).alias("i", "x"))
     at = cells.select((F.col("start") + F.col("i")).alias("pos"), F.col("idx").alias("wid"), "x")
     if resolve is None:

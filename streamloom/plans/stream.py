@@ -118,7 +118,7 @@ class Stream:
     def check_rate(self, rate: float) -> None:
         """A sink writes at its rate only; it never resamples."""
         if self.rate is not None and rate_of(self.rate) != rate_of(rate):
-            raise ValueError(f"the stream should be resampled from {self.rate}Hz to {rate}Hz before writing")
+            raise ValueError(f"this sink takes {rate} Hz, but the stream has {self.rate} Hz; nothing changes rates here, so add resample(to={rate})")
 
     def collect(self, spark: SparkSession, rate: float = 44100.0, bound: int | None = None) -> Iterator[Any]:
         """Values in order, one partition at a time."""
@@ -235,7 +235,7 @@ class Stream:
             right = other.make(c.need(None if c.bound is None else c.bound - n))
             return left.unionByName(right.withColumn("idx", F.col("idx") + F.lit(n)))
 
-        return Stream(make, self.rate or other.rate, other.finite, self.measure, self.kind, self.grid)
+        return Stream(make, self.rate or other.rate, other.finite, self.measure, self.kind, self.grid if self.grid == other.grid else None)
 
     def merge(self, other: Stream, fn: Callable[[Column, Column], Column], ends_at_null: bool = False, kind: str | None = None) -> Stream:
         """fn over the values at each position, null where a stream has ended; ends_at_null: the first null of fn ends the stream."""
@@ -268,7 +268,7 @@ class Stream:
         """Windows, vectors or lists as single elements. Windows overlap by addition or by resolve(following, current)."""
         if self.kind == "window":
             size, step = self.grid or (1, 1)
-            return self._unary(lambda d, c: windows.flatten_windows(d, F.lit(zero), resolve), need=lambda n: -(-n // step), measure=1, kind="sample", grid=None)
+            return self._unary(lambda d, c: windows.flatten_windows(d, F.lit(zero), resolve, self.grid and step), need=lambda n: -(-n // step), measure=1, kind="sample", grid=None)
         return self.flat_map(lambda v: v)
 
     def flat_map(self, fn: Callable[[Column], Column], kind: str = "sample") -> Stream:
@@ -317,13 +317,9 @@ def cut_at_null(df: DataFrame) -> DataFrame:
 
 
 def sweep_steps(i: Column, rate: float, start: float, end: float, time: float, time_offset: float, delta: float) -> Column:
-    """How often the frequency of a sweep has risen before sample i. A counter of seconds since the last rise triggers the next one
-    within a sample of the interval; the rise takes a sample itself, so that its period in samples is constant."""
-    interval, step = time / (end - start) / delta, 1.0 / rate
-    counter, first = 0.0, 0
-    while abs(counter - interval) >= step:
-        counter += step
-        first += 1
-    period = first + 1
-    last = math.ceil(time * rate) - 1
+    """How often the frequency of a sweep has risen before sample i: the first time at the first sample that is less than one
+    sample from a whole interval, then with that period plus the sample that a rise takes, and not after `time`."""
+    interval = time / (end - start) / delta
+    first = max(0, math.floor(interval * rate - 1) + 1)
+    period, last = first + 1, math.ceil(time * rate) - 1
     return F.floor((F.least(i, F.lit(last)) + (period - 1 - first)) / F.lit(float(period)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.operators import indexing
+
 # The signals.
 NOOP, FLUSH, OPEN_GATE, CLOSE_GATE, CLOSE_OUTPUT = 0, 1, 2, 3, 4
 
@@ -15,19 +17,32 @@ def files(df: DataFrame, signal: Column, argument: Column, keys: list[str] | Non
     A flush ends the file before its element; the element of a closing gate is not written, that of an opening gate is;
     the element of a closing output is written, if the gate is open, and is the last. Repeated opening or closing
     changes nothing. A new file starts at a flush after something was written, and at an opening gate; its argument names
-    it, the first file has none. The state runs over the whole stream: give keys to have one stream for each key, else
-    the order is kept in one task, like the stream itself.
+    it, the first file has none. keys: one stream for each key, in windows. Without keys the state runs over the whole stream,
+    range by range: each is summed up and goes on from what those before it come to.
     """
-    every = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("idx")
-    before = every.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = every.rowsBetween(Window.unboundedPreceding, 0)
     s = df.withColumn("_s", signal).withColumn("_arg", argument)
-    gate = F.when(F.col("_s").isin(OPEN_GATE, CLOSE_GATE), F.col("_s") == OPEN_GATE)
-    s = s.withColumn("_was", F.coalesce(F.last(gate, ignorenulls=True).over(before), F.lit(True))).withColumn("_open", F.coalesce(F.last(gate, ignorenulls=True).over(so_far), F.lit(True)))
-    s = s.withColumn("_ended", F.coalesce(F.max((F.col("_s") == CLOSE_OUTPUT).cast("int")).over(before), F.lit(0)) > 0)
-    s = s.withColumn("_written", F.col("_open") & ~F.col("_ended"))
-    s = s.withColumn("_some", F.coalesce(F.max(F.col("_written").cast("int")).over(before), F.lit(0)) > 0)
-    starts = F.col("_written") & (((F.col("_s") == FLUSH) & F.col("_some")) | ((F.col("_s") == OPEN_GATE) & ~F.col("_was")))
-    s = s.withColumn("_starts", starts)
-    s = s.withColumn("file_no", F.sum(F.col("_starts").cast("long")).over(so_far)).withColumn("suffix_argument", F.last(F.when(F.col("_starts"), F.col("_arg")), ignorenulls=True).over(so_far))
-    return s.where("_written").drop("_s", "_arg", "_was", "_open", "_ended", "_written", "_some", "_starts")
+    if keys:
+        every = Window.partitionBy(*keys).orderBy("idx")
+        over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+
+        def scan(rows: DataFrame, column: Column, name: str, how: str, inclusive: bool = False) -> DataFrame:
+            return rows.withColumn(name, over[how](column).over(every.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)))
+
+        dropped = []
+    else:
+        s, part, place = indexing.ranged(s, ["idx"])
+
+        def scan(rows: DataFrame, column: Column, name: str, how: str, inclusive: bool = False) -> DataFrame:
+            return indexing.carry(rows, part, place, column, name, how, inclusive)
+
+        dropped = [part, place]
+    gate = F.when(F.col("_s").isin(OPEN_GATE, CLOSE_GATE), (F.col("_s") == OPEN_GATE).cast("int"))
+    s = scan(scan(s, gate, "_was", "last"), gate, "_open", "last", True)
+    s = scan(s, (F.col("_s") == CLOSE_OUTPUT).cast("int"), "_ended", "max")
+    s = s.withColumn("_written", (F.coalesce("_open", F.lit(1)) * (1 - F.coalesce("_ended", F.lit(0)))))
+    s = scan(s, F.col("_written"), "_some", "max")
+    starts = (F.col("_written") == 1) & (((F.col("_s") == FLUSH) & (F.coalesce("_some", F.lit(0)) == 1)) | ((F.col("_s") == OPEN_GATE) & (F.coalesce("_was", F.lit(1)) == 0)))
+    s = s.withColumn("_starts", starts.cast("long"))
+    s = scan(s, F.col("_starts"), "file_no", "sum", True)
+    s = scan(s, F.when(F.col("_starts") == 1, F.col("_arg")), "suffix_argument", "last", True)
+    return s.where("_written = 1").drop("_s", "_arg", "_was", "_open", "_ended", "_written", "_some", "_starts", *dropped)

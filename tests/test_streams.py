@@ -138,13 +138,79 @@ def test_time():
     assert (index_floor(1_500_000, 1000), index_ceil(1_500_000, 1000), samples_to_time(3, 2.0)) == (1, 2, 1500)
 
 
-def test_dense_index_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(indexing, "RANGE_ROWS", 50)
+@pytest.fixture
+def ten_ranges(spark):
+    """Ranges of about a tenth of the rows, however few these are."""
+    names = {"spark.sql.shuffle.partitions": "10", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_dense_index_over_ranges(spark, ten_ranges):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), (F.col("id") % 3).alias("z"))
     got = indexing.dense_index(df, ["k"]).collect()
     assert all(r.k == r.idx for r in got) and len(got) == 1000
     tied = indexing.dense_index(spark.range(600).selectExpr("id % 4 AS k", "id AS z"), ["k", "z"]).orderBy("idx").collect()
     assert [(r.k, r.z) for r in tied] == sorted((i % 4, i) for i in range(600)) and [r.idx for r in tied] == list(range(600))
+    hot = spark.range(1000).selectExpr("'same' AS k", "cast(id % 500 AS string) AS s", "id AS z", "id AS _part")
+    placed = indexing.dense_index(hot, ["k", "s", "z"]).orderBy("idx").collect()
+    assert [(r.s, r.z) for r in placed] == sorted((str(i % 500), i) for i in range(1000)) and [r.idx for r in placed] == list(range(1000))
+    # One value of the first column in all rows is many ranges, and the plan has no window over all of them.
+    rows, part, place = indexing.ranged(hot, ["k", "s", "z"])
+    assert rows.select(part).distinct().count() > 5 and rows.groupBy(part).agg(F.max(place).alias("m")).agg(F.max("m")).scalar() is not None
+    nulls = spark.createDataFrame([(None, 1), (3, 2), (None, 0), (1, 3)], "k int, z int")
+    assert [r.z for r in indexing.dense_index(nulls, ["k", "z"]).orderBy("idx").collect()] == [0, 1, 3, 2]
+    assert indexing.dense_index(nulls.limit(0), ["k"]).count() == 0
+
+
+def plan_size(df):
+    return len(df._jdf.queryExecution().analyzed().toString())
+
+
+def test_plan_of_positions_does_not_grow_with_rows(spark, ten_ranges):
+    few, many = (indexing.dense_index(spark.range(n).withColumnRenamed("id", "k"), ["k"]) for n in (100, 200_000))
+    assert abs(plan_size(few) - plan_size(many)) < 200
+    assert many.where("idx <> k").count() == 0
+
+
+def test_mixed_flatten_over_ranges(spark, ten_ranges):
+    rng = np.random.default_rng(2)
+    grid = [(int(size), int(step), rng.integers(0, 9, size).astype(float).tolist()) for size, step in zip(rng.integers(2, 6, 300), rng.integers(1, 6, 300), strict=True)]
+    df = spark.createDataFrame(list(enumerate(grid)), "idx long, value struct<size:int,step:int,elements:array<double>>")
+    want, at = {}, 0
+    for size, step, e in grid:
+        for k in range(max(size, step)):
+            want[at + k] = want.get(at + k, 0.0) + (e[k] if k < size else 0.0)
+        at += step
+    assert {r.idx: r.value for r in windows.flatten_windows(df).collect()} == want
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_signals_without_keys_are_as_with_one(spark, ten_ranges, seed):
+    rng = np.random.default_rng(seed)
+    ending = managed.CLOSE_OUTPUT if seed else managed.NOOP
+    kinds = rng.choice([managed.NOOP, managed.FLUSH, managed.OPEN_GATE, managed.CLOSE_GATE], 1000, p=[0.8, 0.1, 0.05, 0.05]).tolist()
+    rows = [(i, int(k) if i != 700 else ending, 1) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "idx long, s int, one int")
+    find = lambda keys: sorted((r.idx, r.file_no, r.suffix_argument) for r in managed.files(df, F.col("s"), F.col("idx"), keys).collect())
+    plain = find(None)
+    assert plain == find(["one"]) and len(plain) > 100
+    # The state machine, one element after the other.
+    is_open, some, number, argument, want = True, False, 0, None, []
+    for i, k, _ in rows:
+        was, is_open = is_open, k == managed.OPEN_GATE if k in (managed.OPEN_GATE, managed.CLOSE_GATE) else is_open
+        if is_open:
+            if (k == managed.FLUSH and some) or (k == managed.OPEN_GATE and not was):
+                number, argument = number + 1, i
+            some = True
+            want.append((i, number, argument))
+        if k == managed.CLOSE_OUTPUT:
+            break
+    assert plain == want
 
 
 @pytest.mark.parametrize("bits", [8, 16, 24, 32, 64])
