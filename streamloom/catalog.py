@@ -10,8 +10,10 @@ import inspect
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamloom import scratch
+from streamloom.functions import complex as cx
 from streamloom.functions import metrics, samples
-from streamloom.functions.time import TimeMeasure
+from streamloom.functions.time import TimeMeasure, index_ceil, index_floor, samples_to_time
 from streamloom.operators import spectral, windows
 from streamloom.plans.stream import Stream
 from streamloom.sources import pcm, sinks, tables
@@ -330,7 +332,7 @@ def _pcm(bits: int):
     return run
 
 
-for _bits, _max in ((8, 127), (16, 32767)):
+for _bits, _max in ((8, 127), (16, 32767), (24, 8388607)):
     _QUERIES[f"pcm{_bits}_roundtrip"] = _pcm(_bits)
     _SQL[f"pcm{_bits}_roundtrip"] = f"""WITH {_S}, q AS (SELECT idx, CAST(round_even((v * 0.005::DOUBLE - 1) * {_max}, 0) AS BIGINT) AS c FROM s),
 c AS (SELECT idx, ((c + {_max + 1}) % {2 * _max + 2} + {2 * _max + 2}) % {2 * _max + 2} - {_max + 1} AS code FROM q)
@@ -384,13 +386,266 @@ def function_input(spark, sf_dir):
 
 @query(f"WITH {_S} SELECT idx, round(round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767, 9) AS value FROM s")
 def wav_write_read(spark, sf_dir):
-    import tempfile
-
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='streamloom-')}/signal-{id(spark)}.wav"
-    pcm.write_wav(signal(spark, sf_dir) * 0.004 - 1.0, spark, path, RATE, 16)
+    path = scratch.fresh_path(spark, "wav")
+    pcm.write_wav_parts((signal(spark, sf_dir) * 0.004 - 1.0).build(spark, RATE), path, RATE, 16, part_samples=1 << 14)
     return _out(pcm.wave(spark, path, resample=False), spark, 9)
 
 
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT range AS idx, round(range / 500.0::DOUBLE, 6) AS value FROM range(0, 1000)")
+def function_input_with_rate(spark, sf_dir):
+    return _out(Stream.generate(lambda i, rate: i / F.lit(rate), rate=500.0).trim(2, "s"), spark)
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS idx, r_regionkey * 1.5 AS value FROM region")
+def list_input(spark, sf_dir):
+    # A list that the caller holds: the five regions.
+    keys = sorted(r.r_regionkey for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey").collect())
+    return _out(Stream.from_list(spark, [k * 1.5 for k in keys]), spark)
+
+
+@query("SELECT range AS idx, round((((range * 37) % 256) - CASE WHEN (range * 37) % 256 > 127 THEN 256 ELSE 0 END) / 127.0::DOUBLE, 9) AS value FROM range(0, 1024)")
+def pcm_bytes_input(spark, sf_dir):
+    data = bytes((((k * 37) % 256) ^ 0x80) for k in range(1024))
+    return _out(pcm.pcm_input(spark, data, RATE, 8), spark, 9)
+
+
+# -- operators -------------------------------------------------------------------------------------------------------
+
+
+for _name, _op, _sql in (("sub", "-", "coalesce(w.v, 0) - coalesce(u.v, 0)"), ("mul", "*", "coalesce(w.v, 0) * coalesce(u.v, 0)"), ("div", "/", "CASE WHEN u.v IS NULL OR u.wid IS NULL THEN 0 ELSE coalesce(w.v, 0) / u.v END")):
+
+    def _run(spark, sf_dir, op=_op):
+        # The second operand is where it is not 0: windows have zeros past their end, and quotients by them are not finite.
+        both = signal(spark, sf_dir).window(4)._merged(signal(spark, sf_dir).map(lambda v: v + 1.0).window(4), op)
+        return _list(both.build(spark, RATE)).where("NOT isnan(value)")
+
+    _QUERIES[f"window_{_name}"] = _run
+    _SQL[f"window_{_name}"] = f"WITH {_S}, {_windows(4, 4)}, n AS (SELECT count(*) AS n FROM s), g AS (SELECT wid, range AS i FROM (SELECT DISTINCT wid FROM w), range(0, 4)), u AS (SELECT wid, i, v + 1 AS v FROM w) SELECT g.wid AS idx, g.i, round({_sql}, 6) AS value FROM g LEFT JOIN w ON w.wid = g.wid AND w.i = g.i LEFT JOIN u ON u.wid = g.wid AND u.i = g.i" + (" WHERE u.v IS NOT NULL" if _op == "/" else "")
+
+for _name, _op in (("sub", "-"), ("div", "/")):
+
+    def _run(spark, sf_dir, op=_op):
+        v = vectors(spark, sf_dir)
+        return _list(v._merged(v.map(lambda x: F.transform(x, lambda e: e * e + 1.0)), op).build(spark, RATE), "value")
+
+    _QUERIES[f"vector_{_name}"] = _run
+    _SQL[f"vector_{_name}"] = f"WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding AS e FROM embeddings) SELECT a.idx, generate_subscripts(a.e, 1) - 1 AS i, round(unnest(list_transform(a.e, lambda x: x::DOUBLE {_op} (x::DOUBLE * x::DOUBLE + 1))), 6) AS value FROM e a"
+
+
+@query("""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, CAST(len(embedding) AS INTEGER) AS size, 3 AS step, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
+def vector_window(spark, sf_dir):
+    df = vectors(spark, sf_dir).map(lambda v: samples.vector_window(v, 3), kind="window").build(spark, RATE)
+    return df.select("idx", "value.size", "value.step", F.round(F.aggregate("value.elements", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("SELECT range AS idx, len(l) AS size, round(list_sum(l), 6) AS total FROM (SELECT range, list_concat([range * 0.5, 2.0], [range, range + 1.0, range + 2.0]) AS l FROM range(0, 500))")
+def vector_constructors(spark, sf_dir):
+    df = spark.range(500).withColumn("l", F.concat(samples.vector_of(F.col("id") * 0.5, 2.0), samples.vector_from(3, lambda i: F.col("id") + i)))
+    return df.select(F.col("id").alias("idx"), F.size("l").cast("long").alias("size"), F.round(F.aggregate("l", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(source, ''), 'e'), lambda x: x <> '') AS l FROM documents)
+SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS idx, x AS value FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM w)""")
+def flatten_lists_with_empties(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = F.filter(F.split(F.coalesce("source", F.lit("")), "e"), lambda x: x != "")
+    found = Stream.from_df(docs.select("doc_id", parts.alias("l")), ["doc_id"], "l")
+    return found.flat_map(lambda v: v).build(spark, RATE)
+
+
+@query(f"WITH {_P}, n AS (SELECT count(*) AS n FROM p) SELECT idx, round(v, 6) AS value FROM p UNION ALL SELECT range + n, round(cos(2 * pi() * 5 * range / 1000.0::DOUBLE), 6) FROM n, range(0, 500)")
+def concat_endless(spark, sf_dir):
+    first = purchases(spark, sf_dir)
+    n = _events(spark, sf_dir).where("event_type = 'purchase'").count()
+    return _out(first.concat(Stream.sine(5.0)).trim(n + 500), spark)
+
+
+@query(f"WITH {_S} SELECT idx // 2 AS idx, round(max(v) - min(v), 6) AS value FROM s GROUP BY 1")
+def resample_custom(spark, sf_dir):
+    s = signal(spark, sf_dir)
+    s.rate = 1000.0
+
+    def spread(df, source, target):
+        return df.groupBy(F.expr(f"idx div {int(source / target)}").alias("idx")).agg((F.max("value") - F.min("value")).alias("value"))
+
+    return _out(s.resample(500.0, method=spread), spark)
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, embedding AS e FROM embeddings)
+SELECT idx * 2 + r.range AS idx, round(list_sum(e::DOUBLE[]), 6) AS value FROM e, range(0, 2) r""")
+def resample_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    v.rate = 1000.0
+    return _out(v.resample(2000.0, method="simple").map(lambda x: F.aggregate(x, F.lit(0.0), lambda a, e: a + e)), spark)
+
+
+_Z = f"{_S}, z AS (SELECT idx, v AS a, idx % 7 - 3.0 AS b, idx % 3 + 1.0 AS c, v / 2 AS d FROM s)"
+
+
+@query(f"WITH {_Z}, m AS (SELECT *, (a * c - b * d + 2 - a) / 4 AS re, (a * d + b * c - b) / 4 AS im FROM z) SELECT idx, round(re, 6) AS re, round(im, 6) AS im, round(sqrt(re * re + im * im), 6) AS size, round(re - sqrt(re * re + im * im) * cos(atan2(im, re)), 6) + 0.0 AS off FROM m")
+def complex_arithmetic(spark, sf_dir):
+    df, i = signal(spark, sf_dir).build(spark, RATE), F.col("idx")
+    z, w = cx.complex_of(F.col("value"), i % 7 - 3.0), cx.complex_of(i % 3 + 1.0, F.col("value") / 2)
+    found = df.select("idx", cx.scale(cx.add(cx.subtract(cx.multiply(z, w), z), cx.complex_of(2.0)), 0.25).alias("z"))
+    back = cx.polar(cx.absolute(F.col("z")), cx.angle(F.col("z")))
+    return found.select("idx", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"), F.round(cx.absolute(F.col("z")), 6).alias("size"), (F.round(cx.subtract(F.col("z"), back)["re"], 6) + 0.0).alias("off"))
+
+
+@query(f"WITH {_S}, {_windows(8, 8)} SELECT wid AS idx, b.range AS k, round(sum(v * cos(2 * pi() * b.range * i / 8)), 5) AS re, round(-sum(v * sin(2 * pi() * b.range * i / 8)), 5) AS im FROM w, range(0, 8) b WHERE n = 8 GROUP BY ALL")
+def dft_terms(spark, sf_dir):
+    df = signal(spark, sf_dir).window(8).build(spark, RATE).where(F.size("value.elements") == 8)
+    z = F.transform("value.elements", lambda x: cx.complex_of(x))
+    found = df.select("idx", F.posexplode(cx.dft(z, 8)).alias("k", "z"))
+    return found.select("idx", F.col("k").cast("long").alias("k"), F.round("z.re", 5).alias("re"), F.round("z.im", 5).alias("im"))
+
+
+@query(f"WITH {_S}, {_windows(8, 8)} SELECT wid AS idx, i, round(v, 6) AS value FROM w WHERE n = 8")
+def dft_roundtrip(spark, sf_dir):
+    df = signal(spark, sf_dir).window(8).build(spark, RATE).where(F.size("value.elements") == 8)
+    z = F.transform("value.elements", lambda x: cx.complex_of(x))
+    back = df.select("idx", cx.dft(cx.dft(z, 8), 8, reverse=True).alias("z"))
+    return _list(back.select("idx", F.transform("z", lambda c: c["re"]).alias("e")), "e")
+
+
+# -- tables ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_S}, n AS (SELECT count(*) AS n FROM s) SELECT CAST(trunc(idx / (1000.0::DOUBLE / 1e9)) AS BIGINT) AS marker_ns, round(v, 6) AS value FROM s UNION ALL SELECT CAST(trunc((idx + n) / (1000.0::DOUBLE / 1e9)) AS BIGINT), round(v, 6) FROM s, n WHERE idx < 100")
+def table_write_read(spark, sf_dir):
+    table = tables.TimeTable(spark, "signal", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(365, "d"))
+    table.write(signal(spark, sf_dir), finish=False)
+    table.write(signal(spark, sf_dir).trim(100))
+    return table.rows().select("marker_ns", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_S}, t AS (SELECT idx, v, max(idx) OVER () AS top FROM s) SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, round(v, 6) AS value FROM t WHERE idx > top - 500")
+def table_as_stream_after_cleanup(spark, sf_dir):
+    table = tables.TimeTable(spark, "signal", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(500, "ms"))
+    table.write(signal(spark, sf_dir))
+    table.cleanup()
+    return _out(table.stream(), spark)
+
+
+@query(f"WITH {_S}, t AS (SELECT idx, v, max(idx) OVER () AS top FROM s) SELECT CAST(trunc(idx / (1000.0::DOUBLE / 1e9)) AS BIGINT) AS marker_ns, round(v, 6) AS value FROM t WHERE idx >= top - 250")
+def table_query_by_name(spark, sf_dir):
+    known = tables.Registry()
+    known.register(tables.TimeTable(spark, "signal", scratch.fresh_path(spark, "table"), RATE)).write(signal(spark, sf_dir))
+    return known.query("signal", "stream", TimeMeasure(250, "ms")).select("marker_ns", F.round("value", 6).alias("value"))
+
+
+# -- sinks -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_S} SELECT line FROM (SELECT 'n,half' AS line UNION ALL SELECT idx || ',' || printf('%.4f', v / 2) FROM s)")
+def csv_write_read(spark, sf_dir):
+    path = scratch.fresh_path(spark, "csv")
+    sinks.to_csv_of(signal(spark, sf_dir), spark, path, ["n", "half"], lambda i, rate, v: [i, F.format_string("%.4f", v / 2)], RATE)
+    return spark.read.text(path).toDF("line")
+
+
+@query(f"""{_FFT}, t AS (SELECT wid, CAST(trunc(wid * 8 / (1000.0::DOUBLE / 1e9)) AS BIGINT) // 1000000 AS ms FROM (SELECT DISTINCT wid FROM w))
+SELECT CAST(ms AS VARCHAR) AS ms, 8 AS n_values FROM t UNION ALL SELECT 'time ms \\ freq hz', 8""")
+def csv_magnitudes(spark, sf_dir):
+    path = scratch.fresh_path(spark, "csv")
+    sinks.magnitude_to_csv(signal(spark, sf_dir).window(11, 8).fft(16), spark, path, RATE)
+    cells = F.split("value", ",")
+    return spark.read.text(path).select(cells[0].alias("ms"), (F.size(cells) - 1).alias("n_values"))
+
+
+_FILES = """f AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS v, CAST(sum(CASE WHEN event_type = 'signup' AND rn > 1 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS BIGINT) AS no
+  FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events))"""
+
+
+def _signalled(spark, sf_dir) -> tuple:
+    """The signal with a flush at every signup."""
+    df = Stream.from_df(_events(spark, sf_dir), ["ts", "event_id"], F.struct("value", "event_type")).build(spark, RATE).select("idx", "value.*")
+    return df, F.when(F.col("event_type") == "signup", managed.FLUSH).otherwise(managed.NOOP)
+
+
+@query(f"WITH {_FILES} SELECT no AS file_no, count(*) AS n, round(sum(v), 4) AS total, min(idx) AS first_idx FROM f GROUP BY no")
+def managed_flush_whole_stream(spark, sf_dir):
+    df, signals = _signalled(spark, sf_dir)
+    found = managed.files(df, signals, F.col("idx"))
+    return found.groupBy("file_no").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("idx").alias("first_idx"))
+
+
+#: Files of the next two: a new one at every 512th element.
+_CHUNKED = f"WITH {_S}, f AS (SELECT idx // 512 AS no, idx, v FROM s)"
+
+
+@query(f"{_CHUNKED} SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN '-' || CAST(no * 512 AS VARCHAR) ELSE '' END AS name, count(*) AS n_lines FROM f GROUP BY no")
+def managed_csv_files(spark, sf_dir):
+    df = signal(spark, sf_dir).build(spark, RATE)
+    flush = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
+    suffix = F.concat(F.lit("-"), F.col("suffix_argument").cast("string"))
+    return sinks.managed_csv(df, flush, F.col("idx"), scratch.fresh_path(spark, "managed"), "value", lambda v: v.cast("string"), suffix).select("name", "n_lines")
+
+
+@query(f"{_CHUNKED} SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN CAST(no * 512 AS VARCHAR) ELSE '' END || '.wav' AS name, count(*) AS n_samples, count(*) * 2 AS n_bytes FROM f GROUP BY no")
+def managed_wav_files(spark, sf_dir):
+    df = (signal(spark, sf_dir) * 0.004 - 1.0).build(spark, RATE)
+    flush = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
+    return sinks.managed_wav(df, flush, F.col("idx"), scratch.fresh_path(spark, "managed"), RATE).select("name", "n_samples", "n_bytes")
+
+
+# -- functions and metrics -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_S}, q AS (SELECT idx, CAST(round_even((v * 0.005::DOUBLE - 1) * 127, 0) AS BIGINT) AS c FROM s) SELECT idx, xor(((c % 256) + 256) % 256, 128) AS byte FROM q")
+def unsigned_bytes(spark, sf_dir):
+    df = (signal(spark, sf_dir) * 0.005 - 1.0).build(spark, RATE)
+    return df.select("idx", samples.as_unsigned_byte(F.col("value")).alias("byte"))
+
+
+@query("SELECT range AS n, CAST(trunc(range / (44100.0::DOUBLE / 1e9)) AS BIGINT) AS ns, CAST(floor(range * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_floor, CAST(ceil(range * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_ceil FROM range(0, 200)")
+def time_and_counts(spark, sf_dir):
+    rows = [(n, samples_to_time(n, 44100.0, "ns"), index_floor(n * 1_000_000, 44100.0), index_ceil(n * 1_000_000, 44100.0)) for n in range(200)]
+    return spark.createDataFrame(rows, "n long, ns long, at_floor long, at_ceil long")
+
+
+_HOURS = f"h AS (SELECT CAST(floor({_MS} / 3600000.0) AS BIGINT) AS bucket, sum(value) AS value, max(epoch_us(ts) // 1000) AS newest FROM events GROUP BY 1), t AS (SELECT *, bucket = (SELECT max(bucket) FROM h) AS is_open, CASE WHEN bucket = (SELECT max(bucket) FROM h) THEN newest ELSE bucket * 3600000 END AS \"at\" FROM h)"
+
+
+def _timed(spark, sf_dir) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    df = _events(spark, sf_dir).groupBy(metrics.bucket(ms, 3_600_000).alias("bucket")).agg(F.sum("value").alias("value"), F.max(ms).alias("newest"))
+    return metrics.timed(df, 3_600_000, F.col("newest"))
+
+
+@query(f"WITH {_HOURS}, n AS (SELECT max(\"at\") AS now FROM t) SELECT round(sum(value), 4) AS total FROM t, n WHERE (NOT is_open AND \"at\" >= now - 86400000) OR (is_open AND \"at\" > now - 86400000)")
+def metric_in_last(spark, sf_dir):
+    rows = _timed(spark, sf_dir)
+    now = rows.agg(F.max("at")).first()[0]
+    return metrics.in_last(rows, 86_400_000, now, F.sum("value").alias("total")).select(F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {_HOURS}, n AS (SELECT max(\"at\") AS now FROM t) SELECT bucket, \"at\", \"at\" >= now - 43200000 AS last_half_day, round(value, 4) AS value FROM t, n WHERE \"at\" >= now - 86400000")
+def metric_leave_and_remove(spark, sf_dir):
+    rows = _timed(spark, sf_dir)
+    now = rows.agg(F.max("at")).first()[0]
+    left = metrics.leave_only_last(rows, 86_400_000, now)
+    stay, gone = metrics.remove_all_before(left, now - 43_200_000)
+    both = stay.withColumn("last_half_day", F.lit(True)).unionByName(gone.withColumn("last_half_day", F.lit(False)))
+    return both.select("bucket", "at", "last_half_day", F.round("value", 4).alias("value"))
+
+
+@query(f"SELECT CAST(floor({_MS} / 3600000.0) AS BIGINT) AS bucket, round(sum(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1")
+def metric_merge(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    a, b = (metrics.counter_rollup(_events(spark, sf_dir).where(F.col("event_type") == t), ms, F.col("value"), 3_600_000) for t in ("purchase", "signup"))
+    return metrics.merged(a, b, F.sum("value").alias("value")).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0 GROUP BY 1")
+def metric_tags(spark, sf_dir):
+    tags = F.create_map(F.lit("type"), F.col("event_type"), F.lit("shard"), (F.col("user_id") % 5).cast("string"))
+    found = _events(spark, sf_dir).where(metrics.is_super_of(tags, {"type": "purchase", "shard": "0"}))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -35,3 +35,33 @@ def is_super_of(tags: Column, wanted: dict[str, str]) -> Column:
     for k, v in wanted.items():
         test = test & (F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit("")) == v)
     return test
+
+
+def timed(rollup: DataFrame, granularity: int, newest: Column) -> DataFrame:
+    """A roll-up with the time of each bucket: its start, but for the last bucket, which is open, its newest value's time."""
+    top = rollup.agg(F.max("bucket")).scalar()
+    return rollup.withColumns({"is_open": F.col("bucket") == top, "at": F.when(F.col("bucket") == top, newest).otherwise(F.col("bucket") * granularity).cast("long")})
+
+
+def in_last(rows: DataFrame, interval: int, now: int, total: Column) -> DataFrame:
+    """One row with the aggregate over what timed() has of the last interval: closed buckets that start in it, and the open one if its
+    newest value is later than the interval's start, or if there is no other."""
+    closed = ~F.col("is_open") & (F.col("at") >= now - interval)
+    found = rows.agg(F.count_if(closed).alias("n")).select("n")
+    none = found.scalar() == 0
+    return rows.where(closed | (F.col("is_open") & ((F.col("at") > now - interval) | none))).agg(total)
+
+
+def remove_all_before(rows: DataFrame, before: int) -> tuple[DataFrame, DataFrame]:
+    """What stays of timed(), and what goes."""
+    return rows.where(F.col("at") >= before), rows.where(F.col("at") < before)
+
+
+def leave_only_last(rows: DataFrame, interval: int, now: int) -> DataFrame:
+    """What timed() has of the last interval."""
+    return rows.where(F.col("at") >= now - interval)
+
+
+def merged(a: DataFrame, b: DataFrame, total: Column, *tags: str) -> DataFrame:
+    """Two roll-ups of one granularity as one: buckets that both have are accumulated."""
+    return a.unionByName(b).groupBy(*tags, "bucket").agg(total)

@@ -73,3 +73,9 @@ def vector_of(*values: Column | float) -> Column:
 def vector_from(size: int, fn) -> Column:
     """A vector of fn(position)."""
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: fn(i).cast("double"))
+
+
+def vector_window(x: Column, step: int | None = None) -> Column:
+    """A vector as a window of its length; step: that of the windows' grid, the length by default."""
+    size = F.size(x)
+    return F.struct(size.alias("size"), (size if step is None else F.lit(step)).alias("step"), x.alias("elements"))

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.functions.samples import MAX
 from streamloom.plans.stream import Stream
+from streamloom.scratch import materialize
 
 #: Samples of one piece of PCM that a task encodes.
 BLOCK = 1 << 16
+#: Samples of one WAV part.
+PART = 1 << 22
 HEADER = 44
 
 
@@ -32,7 +38,7 @@ def encode(x: np.ndarray, bits: int) -> bytes:
     """Samples as little-endian PCM: rounded half to even; 8, 16 and 24 bits wrap, 32 and 64 saturate."""
     scaled = np.rint(np.nan_to_num(np.asarray(x, np.float64), nan=0.0, posinf=3.0e18, neginf=-3.0e18) * MAX[bits])
     if bits == 64:
-        whole = np.where(scaled >= 2.0**63, MAX[64], np.clip(scaled, -(2.0**63), 2.0**63 - 1024)).astype(np.int64)
+        whole = np.clip(scaled, -(2.0**63), 2.0**63 - 1024).astype(np.int64)
         whole[scaled >= 2.0**63] = MAX[64]
         return whole.astype("<i8").tobytes()
     whole = np.clip(scaled, -(2.0**31), 2.0**31 - 1).astype(np.int64)
@@ -65,24 +71,53 @@ def pcm_input(spark: SparkSession, data: bytes, rate: float, bits: int) -> Strea
 
 
 def wave(spark: SparkSession, path: str, resample: bool = True, taps: int = 64) -> Stream:
-    """A WAV file at its own rate, resampled to the rate it is read at unless resample is False."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """A WAV file, or a folder of WAV parts in the order of their names, at its own rate; resampled to the rate it is read at unless
+    resample is False. Each part is read in a task and takes its place after the parts before it."""
+    files = spark.read.format("binaryFile").load(path)
     rate, bits, _ = read_header(bytes(files.select(F.substring("content", 1, HEADER)).first()[0]))
+    # Lengths come from the listing of files, one row for each part, without their content.
+    lengths = sorted((r.path, r.length) for r in files.select("path", "length").collect())
+    starts = accumulate(((n - HEADER) // (bits // 8) for _, n in lengths), initial=0)
+    table = spark.createDataFrame([(p, s) for (p, _), s in zip(lengths, starts)], "path string, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for content, start in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 raw = content.as_py()
                 _, width, n = read_header(raw)
                 x = decode(raw[HEADER : HEADER + min(n, len(raw) - HEADER)], width)
                 for at in range(0, len(x), BLOCK):
                     part = x[at : at + BLOCK]
-                    yield pa.RecordBatch.from_pydict({"idx": np.arange(at, at + len(part)), "value": part})
+                    yield pa.RecordBatch.from_pydict({"idx": np.arange(start + at, start + at + len(part)), "value": part})
 
-    found = Stream.from_indexed(files.mapInArrow(run, "idx bigint, value double"), float(rate))
+    placed = files.select("path", "content").join(F.broadcast(table), "path").select("content", "start")
+    found = Stream.from_indexed(placed.mapInArrow(run, "idx bigint, value double"), float(rate))
     return found.resample(method="sinc", taps=taps) if resample else found
 
 
+def write_wav_parts(df: DataFrame, path: str, rate: float, bits: int = 16, channels: int = 1, names: str | None = None, part_samples: int = PART) -> DataFrame:
+    """Write samples (idx, value) as WAV parts of part_samples in tasks: path/part-00000000.wav and on. names: a column of names, one
+    folder path/name for each of them, with idx dense within it. Returns name, part, n_samples, n_bytes of what was written.
+
+    A part is written under another name first, so that a task that is run again leaves a whole file."""
+    name = F.lit("") if names is None else F.coalesce(F.col(names).cast("string"), F.lit(""))
+    dealt = df.select(name.alias("name"), F.expr(f"idx div {part_samples}").alias("part"), "idx", F.col("value").cast("double").alias("value"))
+
+    def write(table: pa.Table) -> pa.Table:
+        label, part = table.column("name")[0].as_py(), table.column("part")[0].as_py()
+        data = encode(table.sort_by("idx").column("value").to_numpy(), bits)
+        store, root = pafs.FileSystem.from_uri(path)
+        folder = f"{root}/{label}" if label else root
+        store.create_dir(folder, recursive=True)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as out:
+            out.write(wav_header(len(data), rate, bits, channels) + data)
+        store.move(draft, f"{folder}/part-{part:08d}.wav")
+        return pa.table({"name": [label], "part": pa.array([part], pa.int64()), "n_samples": pa.array([table.num_rows], pa.int64()), "n_bytes": pa.array([len(data)], pa.int64())})
+
+    return materialize(dealt.groupBy("name", "part").applyInArrow(write, "name string, part long, n_samples long, n_bytes long"), "wav-parts")
+
+
 def encoded(df: DataFrame, bits: int) -> DataFrame:
     """block, data: PCM of BLOCK samples each."""
     flat = df.groupBy(F.expr(f"idx div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e")).select("block", F.transform("e", lambda x: x["value"]).alias("x"))
@@ -95,7 +130,8 @@ def encoded(df: DataFrame, bits: int) -> DataFrame:
 
 
 def write_wav(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, bits: int = 16, channels: int = 1) -> int:
-    """Write a finite stream as one file through Hadoop's file system; blocks are encoded in tasks and appended in order.
+    """Write a finite stream as one file through Hadoop's file system; blocks are encoded in tasks and appended in order by
+    the driver, as one file has one writer: write_wav_parts() leaves that to tasks.
     Vectors are written element by element. Returns the bytes of data."""
     stream.check_rate(rate)
     source = stream.flatten() if stream.kind == "vector" else stream

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.functions.time import UNITS, rate_of
-from streamloom.operators import spectral
+from streamloom.operators import indexing, spectral
 from streamloom.plans.stream import Stream
+from streamloom.sources import pcm
+from streamloom.streaming import managed
 
 
 def csv_lines(df: DataFrame, *cells: Column) -> DataFrame:
@@ -35,30 +37,65 @@ def spectrum_header(df: DataFrame) -> str:
     return ",".join(["time ms \\ freq hz", *(found["f"] if found else [])])
 
 
-def write_lines(lines: DataFrame, path: str, header: str | None = None, single: bool = False) -> None:
-    """Text files in order of idx; single: one file."""
-    df = lines.orderBy("idx") if not single else lines.coalesce(1).sortWithinPartitions("idx")
-    df = df.select(F.col("line").alias("value"))
+def write_lines(lines: DataFrame, path: str, header: str | None = None, single: bool = False, charset: str = "UTF-8") -> None:
+    """Text files whose names are in the order of idx, with the header as the first line of the first; single: one file, by one task."""
+    named = lines.select("idx", F.col("line").alias("value"))
     if header is not None:
-        df = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).unionByName(df)
-        df = df.coalesce(1) if single else df
-    df.write.mode("overwrite").text(path)
+        named = lines.sparkSession.createDataFrame([(-1, header)], "idx long, value string").unionByName(named)
+    df = named.coalesce(1).sortWithinPartitions("idx") if single else named.orderBy("idx")
+    df.select("value").write.mode("overwrite").option("encoding", charset).text(path)
 
 
-def to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms", single: bool = True) -> None:
+def to_csv_of(stream: Stream, spark: SparkSession, path: str, header: list[str], cells: Callable[[Column, float, Column], list[Column]], rate: float = 44100.0, single: bool = False, charset: str = "UTF-8") -> None:
+    """Any elements: cells(position, rate, value) gives a line's columns; position counts elements."""
+    stream.check_rate(rate)
+    at = stream.rate or rate
+    write_lines(csv_lines(stream.build(spark, rate), *cells(F.col("idx"), rate_of(at), F.col("value"))), path, ",".join(header), single, charset)
+
+
+def to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms", single: bool = False, charset: str = "UTF-8") -> None:
     """Samples as time and value."""
     stream.check_rate(rate)
-    write_lines(sample_lines(stream.build(spark, rate), stream.rate or rate, unit, stream.measure), path, f"time {unit},value", single)
+    write_lines(sample_lines(stream.build(spark, rate), stream.rate or rate, unit, stream.measure), path, f"time {unit},value", single, charset)
 
 
-def magnitude_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms") -> None:
+def magnitude_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms", single: bool = False) -> None:
     df = stream.build(spark, rate)
-    write_lines(spectrum_lines(df, spectral.magnitude, unit), path, spectrum_header(df), True)
+    write_lines(spectrum_lines(df, spectral.magnitude, unit), path, spectrum_header(df), single)
 
 
-def phase_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms") -> None:
+def phase_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, unit: str = "ms", single: bool = False) -> None:
     df = stream.build(spark, rate)
-    write_lines(spectrum_lines(df, spectral.phase, unit), path, spectrum_header(df), True)
+    write_lines(spectrum_lines(df, spectral.phase, unit), path, spectrum_header(df), single)
+
+
+def _names(suffix: Column | None) -> Column:
+    """The name of each row's managed file: file_no keeps files apart whose suffixes are equal."""
+    tail = F.coalesce((F.col("suffix_argument") if suffix is None else suffix).cast("string"), F.lit(""))
+    return F.concat(F.lpad(F.col("file_no").cast("string"), 8, "0"), tail)
+
+
+def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, header: str, line: Callable[[Column], Column], suffix: Column | None = None) -> DataFrame:
+    """Elements (idx, value) with signals in band to text, a folder path/name=<number><suffix> for each file of ordered parts, each with
+    the header. idx counts on while a gate is closed. Returns name, n_lines and n_parts."""
+    found = managed.files(df, signal, argument).select("idx", _names(suffix).alias("name"), line(F.col("value")).alias("value"))
+    heads = found.select("name").distinct().select(F.lit(-1).cast("long").alias("idx"), "name", F.lit(header).alias("value"))
+    ordered = heads.unionByName(found).repartitionByRange("name", "idx").sortWithinPartitions("name", "idx")
+    ordered.select("name", "value").write.partitionBy("name").mode("overwrite").text(path)
+    written = df.sparkSession.read.text(path)
+    return written.select(F.col("name").cast("string").alias("name"), F.input_file_name().alias("f")).groupBy("name").agg((F.count("*") - 1).alias("n_lines"), F.count_distinct("f").alias("n_parts"))
+
+
+def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate: float, bits: int = 16, suffix: Column | None = None) -> DataFrame:
+    """Samples (idx, value) with signals in band to WAV, a folder path/<number><suffix>.wav of parts for each file. Returns name, part,
+    n_samples and n_bytes."""
+    found = managed.files(df, signal, argument).select("idx", "value", "file_no", F.concat(_names(suffix), F.lit(".wav")).alias("name"))
+    # Within a file elements may be missing where a gate was closed, so places are counted along the whole stream.
+    rows, part, place = indexing.ranged(found, ["idx"])
+    counted = indexing.carry(rows, part, place, F.lit(1).cast("long"), "before", "sum").withColumn("before", F.coalesce("before", F.lit(0)))
+    starts = counted.groupBy("name").agg(F.min("before").alias("start"))
+    dense = counted.join(starts, "name").select((F.col("before") - F.col("start")).alias("idx"), "value", "name")
+    return pcm.write_wav_parts(dense, path, rate, bits, names="name")
 
 
 def to_function(stream: Stream, spark: SparkSession, fn: Callable[[str, int, Any], bool], rate: float = 44100.0) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions.time import TimeMeasure, rate_of
 from streamloom.plans.stream import Stream
+from streamloom.scratch import materialize
 
 DAY = TimeMeasure(1, "d")
 
@@ -23,20 +24,33 @@ class TimeTable:
         if self.finished:
             raise ValueError(f"table {self.name} is finished")
         last = self.last_marker()
+        df = materialize(df.select("marker_ns", "value"), "table-rows")
         first = df.agg(F.min("marker_ns")).first()[0]
         if last is not None and first is not None and first < last:
             raise ValueError(f"a row at {first} ns is older than the last one at {last} ns")
-        df.select("marker_ns", "value").write.mode("append").parquet(self.path)
+        df.write.mode("append").parquet(self.path)
 
-    def write(self, stream: Stream) -> None:
-        """Append a finite stream: markers go on from the last one, an element's length apart."""
+    def write(self, stream: Stream, finish: bool = True) -> None:
+        """Append a finite stream: markers go on from the last one, an element's length apart. finish: nothing
+        may follow; else more can be written."""
         stream.check_rate(self.rate)
         last = self.last_marker()
         m = stream.measure
         start = 0 if last is None else round(last / 1e9 * self.rate) + m
         df = stream.build(self.spark, self.rate)
         self.append(df.select(marker(F.col("idx") * m + start, self.rate).alias("marker_ns"), "value"))
-        self.finished = True
+        self.finished = finish
+
+    def cleanup(self) -> int:
+        """Remove the rows that retention does not keep, and return their number. What stays is written beside the table first."""
+        found = self._all()
+        if found is None:
+            return 0
+        kept = materialize(retained(found, self.retention), "table-kept")
+        gone = found.count() - kept.count()
+        if gone:
+            kept.write.mode("overwrite").parquet(self.path)
+        return gone
 
     def _all(self) -> DataFrame | None:
         try:
@@ -133,5 +147,14 @@ class Registry:
             raise KeyError(f"no table {name}")
         return self.tables[name]
 
+    def query(self, name: str, of: str, *times: TimeMeasure) -> DataFrame:
+        """The rows of a table by name; of: "last" (interval), "time_range" (from, to), or "stream" (offset: what there is from that
+        long before the last row on)."""
+        table = self.by_name(name)
+        if of == "stream":
+            rows = table.rows()
+            return rows.where(F.col("marker_ns") >= rows.agg(F.max("marker_ns")).scalar() - times[0].ns)
+        return {"last": table.last, "time_range": table.time_range}[of](*times)
+
     def reset(self, name: str) -> None:
         self.by_name(name).reset()
