@@ -1,17 +1,19 @@
 """PII surrogates: detected entities get keyed, type-consistent replacements.
 
 1. Detect: one alternation of patterns, read off every whole text.
-2. Canonical form: an entity's kind and value without format (an address in lower case, a number's digits, a name without its
-   title), so that all spellings of one entity share one surrogate in all documents.
-3. Surrogates: a keyed hash of kind and canonical form, spelt in the same shape: digits for digits, letters for letters of
-   the same script, a given name of the same gender. Collision checks: a surrogate that another entity also has, or that is
-   itself a detected value, is drawn again with the next attempt number, until all are distinct.
+2. Values: an address in lower case, a number's digits; a name's given and family name are values of their own, so that
+   full and short mentions of one family name, whoever bears it, share its surrogate. All spellings of one value share one in
+   all documents.
+3. Surrogates: a keyed hash of kind and value, spelt in the same shape: digits for digits, letters for letters of the same
+   script, a given name of the same gender. Collision checks over all kinds: a surrogate that another value also has, or that
+   is itself a detected value, is drawn again with the next attempt number from a wider space, until all are distinct.
 4. Replace: a text is what lies between its entities with the surrogates in between, in the case and punctuation of each
    mention.
 
 All of it is DataFrame functions. Only texts with entities are shuffled, keyed by their list of entities, and never all
-mentions of one entity. Defined results: a null text stays null; repeated rows are rewritten alike; an empty table gives
-an empty one; all columns are kept, whatever their names.
+mentions of one entity. Names are found by their titles alone: a name that has none anywhere stays.
+Defined results: a null text stays null; repeated rows are rewritten alike; an empty table gives an empty one; all columns are
+kept, whatever their names; more values than a shape can spell get longer surrogates.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import materialize
+from streamloom.llm.common import free_name, materialize
 
 # Titles by gender, given names by script and gender, alphabets by script, syllables of surnames.
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
@@ -49,7 +51,7 @@ PATTERNS = {
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,4}(?![0-9])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "ip": rf"(?<!\.){OCTET}(?:\.{OCTET}){{3}}(?![0-9])",
-    "name": rf"(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?:{TITLES_F}|{TITLES_M})\.? (?:\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|\p{{Lu}}\.? ?\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
 ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 
@@ -82,15 +84,25 @@ def kind_of(found: Column) -> Column:
 
 
 def canonical(found: Column, kind: Column) -> Column:
-    """An entity's value without the format of this mention."""
+    """The value of an entity other than a name without the format of this mention."""
     return (
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(found, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(found, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", "")))
         .otherwise(F.lower(found))
     )
 
 
+def parts(found: Column, kind: Column) -> Column:
+    """The values that surrogates are assigned to, as an array of struct(kind, canon): a name's given name (by gender) or initial, and
+    its family name, which is one value whoever bears it and however it is mentioned; else the value itself."""
+    bare = F.lower(F.regexp_replace(found, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", ""))
+    first, last = F.regexp_extract(bare, r"^(\p{L}+)(?=[. ])", 1), F.regexp_extract(bare, r"(\p{L}+)$", 1)
+    of_first = F.when(F.length(first) == 1, F.lit("initial")).when(kind == "name_f", F.lit("given_f")).otherwise(F.lit("given_m"))
+    family = F.struct(F.lit("family").alias("kind"), last.alias("canon"))
+    name = F.when(first != "", F.array(F.struct(of_first.alias("kind"), first.alias("canon")), family)).otherwise(F.array(family))
+    return F.when(kind.startswith("name"), name).otherwise(F.array(F.struct(kind.alias("kind"), canonical(found, kind).alias("canon"))))
+
+
 def _byte(digest: Column, i: Column) -> Column:
     """The i-th byte of a hash in hexadecimal digits, over and over."""
     return F.conv(F.substring(digest, 2 * F.pmod(i, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
@@ -119,16 +131,23 @@ def _reshape(value: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
 
-def _name(canon: Column, kind: Column, digest: Column) -> Column:
-    """A name of as many words, in the same script; the given name has the same gender."""
+def _more(syllables: list[str], digest: Column, attempt: Column) -> Column:
+    """A syllable for each attempt after the second, 24 at most."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: _pick(syllables, _byte(digest, i + 5)))
+    return F.array_join(F.slice(drawn, F.lit(1), F.least(F.greatest(attempt - 2, F.lit(0)), F.lit(24))), "")
+
+
+def _name(canon: Column, kind: Column, digest: Column, attempt: Column) -> Column:
+    """A part of a name in the same script; a given name has the same gender. Each attempt after the second adds a syllable."""
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for s in ALPHABETS:
-        parts = [_pick(SYLLABLES[s], _byte(digest, F.lit(i))) for i in (1, 2, 3, 4)]
-        family = F.when(script == s, F.concat(*parts)).otherwise(family)
+        more = _more(SYLLABLES[s], digest, attempt)
+        family = F.concat(*(_pick(SYLLABLES[s], _byte(digest, F.lit(i))) for i in (1, 2, 3, 4)), more)
+        out = F.when((script == s) & (kind == "family"), family).when((script == s) & (kind == "initial"), _pick(ALPHABETS[s], _byte(digest, F.lit(0)))).otherwise(out)
         for g in "fm":
-            given = F.when((script == s) & (kind == f"name_{g}"), F.lower(_pick(GIVEN[s, g], _byte(digest, F.lit(0))))).otherwise(given)
-    return F.when(canon.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+            out = F.when((script == s) & (kind == f"given_{g}"), F.concat(F.lower(_pick(GIVEN[s, g], _byte(digest, F.lit(0)))), more)).otherwise(out)
+    return out
 
 
 def _keyed(key: str, *parts: Column) -> Column:
@@ -139,31 +158,38 @@ def _keyed(key: str, *parts: Column) -> Column:
 def _draw(found: DataFrame, key: str) -> DataFrame:
     """kind, canon, attempt -> the surrogate in canonical form."""
     rows = found.withColumn("digest", _keyed(key, F.col("kind"), F.col("canon"), F.col("attempt").cast("string")))
-    kind, canon, digest = F.col("kind"), F.col("canon"), F.col("digest")
+    kind, canon, digest, attempt = F.col("kind"), F.col("canon"), F.col("digest"), F.col("attempt")
+    # Shapes have finitely many values: from the fourth attempt on they grow by a digit each.
+    more = F.substring(F.translate(digest, "abcdef", "012345"), F.lit(1), F.greatest(attempt - 3, F.lit(0)))
     host = F.substring_index(canon, "@", -1)
-    mail = F.concat(_reshape(F.substring_index(canon, "@", 1), digest), F.lit("@"), _reshape(F.substring_index(host, ".", 1), _keyed(key, F.lit("host"), host)), F.lit(".example.com"))
-    octets = F.concat_ws(".", (F.pmod(_byte(digest, F.lit(0)), F.lit(223)) + 1).cast("string"), *(_byte(digest, F.lit(i)).cast("string") for i in (1, 2, 3)))
-    phone = F.concat(F.substring(canon, 1, 1), _reshape(F.expr("substring(canon, 2)"), digest))
-    iban = F.concat(F.substring(canon, 1, 2), _reshape(F.expr("substring(canon, 3)"), digest))
-    secret = F.expr("substring(concat(digest, sha2(digest, 256)), 1, length(canon))")
+    mail = F.concat(_reshape(F.substring_index(canon, "@", 1), digest), more, F.lit("@"), _reshape(F.substring_index(host, ".", 1), _keyed(key, F.lit("host"), host)), F.lit(".example.com"))
+    octets = F.concat_ws(".", (F.pmod(_byte(digest, F.lit(0)), F.lit(223)) + 1).cast("string"), *(_byte(digest, F.lit(i)).cast("string") for i in (1, 2, 3)), F.when(more != "", more))
+    phone = F.concat(F.substring(canon, 1, 1), _reshape(F.expr("substring(canon, 2)"), digest), more)
+    iban = F.concat(F.substring(canon, 1, 2), _reshape(F.expr("substring(canon, 3)"), digest), more)
+    secret = F.concat(F.expr("substring(concat(digest, sha2(digest, 256)), 1, length(canon))"), more)
     drawn = (
-        F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "iban", iban)
-        .when(kind == "secret", secret).when(kind.startswith("name"), _name(canon, kind, digest)).otherwise(_reshape(canon, digest))
+        F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "secret", secret)
+        .when(kind.isin("family", "given_f", "given_m", "initial"), _name(canon, kind, digest, attempt)).otherwise(F.concat(_reshape(canon, digest), more))
     )
     return rows.select("kind", "canon", "attempt", drawn.alias("surrogate"))
 
 
 def assign(known: DataFrame, key: str) -> DataFrame:
-    """kind, canon, surrogate for distinct (kind, canon): surrogates are distinct, and none is a known value."""
-    values = known.select("kind", F.col("canon").alias("surrogate"))
-    drawn = materialize(_draw(known.withColumn("attempt", F.lit(0)), key), "pii-drawn")
+    """kind, canon, surrogate for distinct (kind, canon): surrogates are distinct over all kinds, and none is a known value.
+
+    Every attempt widens the space that it draws from (names from the third on, other shapes from the fourth), so that few are left
+    each time, however many values there are. Initials are letters, which can't be distinct, and take the first draw."""
+    known = materialize(known, "pii-known")
+    initials = _draw(known.where("kind = 'initial'").withColumn("attempt", F.lit(0)), key)
+    values = known.where("kind <> 'initial'").select(F.col("canon").alias("surrogate")).distinct()
+    drawn = materialize(_draw(known.where("kind <> 'initial'").withColumn("attempt", F.lit(0)), key), "pii-drawn")
     while True:
-        first = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("keeps")).where("n > 1").drop("n")
-        shared = drawn.join(materialize(first, "pii-shared"), ["kind", "surrogate"]).where((F.col("keeps.canon") != F.col("canon"))).select("kind", "canon", "attempt")
-        real = drawn.join(values, ["kind", "surrogate"], "left_semi").select("kind", "canon", "attempt")
+        first = drawn.groupBy("surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "canon")).alias("keeps")).where("n > 1").drop("n")
+        shared = drawn.join(materialize(first, "pii-shared"), "surrogate").where((F.col("keeps.canon") != F.col("canon")) | (F.col("keeps.kind") != F.col("kind"))).select("kind", "canon", "attempt")
+        real = drawn.join(values, "surrogate", "left_semi").select("kind", "canon", "attempt")
         again = materialize(shared.unionByName(real).distinct(), "pii-again")
         if again.isEmpty():
-            return drawn.select("kind", "canon", "surrogate")
+            return drawn.unionByName(initials).select("kind", "canon", "surrogate")
         kept = drawn.join(again.select("kind", "canon"), ["kind", "canon"], "left_anti")
         drawn = materialize(kept.unionByName(_draw(again.withColumn("attempt", F.col("attempt") + 1), key)), "pii-drawn")
 
@@ -176,53 +202,62 @@ def _digits_into(mention: Column, digits: Column) -> Column:
         digit = c.rlike("[0-9]")
         return F.struct(F.concat(a["out"], F.when(digit, F.substring(digits, a["k"], F.lit(1))).otherwise(c)).alias("out"), F.when(digit, a["k"] + 1).otherwise(a["k"]).alias("k"))
 
-    return F.aggregate(F.split(mention, ""), start, step)["out"]
+    return F.aggregate(F.split(mention, ""), start, step, lambda a: F.concat(a["out"], F.substring(digits, a["k"], F.length(digits))))
+
 
+def _case_of(mention: Column, surrogate: Column) -> Column:
+    """The surrogate with capitals where the mention has them."""
+    one = lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
+    return F.when(mention.rlike(r"\p{Lu}"), F.array_join(F.transform(F.split(surrogate, ""), one), "")).otherwise(surrogate)
 
-def render(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one mention."""
+
+def render(mention: Column, kind: Column, surrogates: Column) -> Column:
+    """The surrogates of a mention's parts in its format."""
     title = F.regexp_extract(mention, rf"^((?:{TITLES_F}|{TITLES_M})\.? )", 1)
-    plain = F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(surrogate)).otherwise(surrogate)
+    gap = F.regexp_extract(mention, r"\p{L}([. ]{1,2})\p{L}+$", 1)
+    surrogate, last = F.get(surrogates, F.lit(0)), F.get(surrogates, F.size(surrogates) - 1)
+    plain = F.when((F.upper(mention) == mention) & (F.lower(mention) != mention), F.upper(surrogate)).otherwise(_case_of(mention, surrogate))
     groups = F.when(mention.contains(" "), F.trim(F.regexp_replace(surrogate, "(.{4})", "$1 "))).otherwise(surrogate)
+    name = F.when(F.size(surrogates) > 1, F.concat(F.initcap(surrogate), gap, F.initcap(last))).otherwise(F.initcap(last))
     return (
         F.when(kind.isin("card", "phone", "ssn"), _digits_into(mention, surrogate))
         .when(kind == "iban", groups)
-        .when(kind.startswith("name"), F.concat(title, F.initcap(surrogate)))
+        .when(kind.startswith("name"), F.concat(title, name))
         .otherwise(plain)
     )
 
 
-def entity_lists(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """sig, found of every distinct list of entities that a text of docs has."""
-    found = docs.select(entities(F.col(text_col)).alias("found")).where(F.size("found") > 0)
-    return materialize(found.withColumn("sig", _signature("found")).groupBy("sig").agg(F.first("found").alias("found")), "pii-lists")
-
-
 def _signature(found: str) -> Column:
     return F.sha2(F.array_join(found, "\x1f"), 256)
 
 
 def mentions(lists: DataFrame, key: str) -> DataFrame:
-    """mention, kind, canon, replacement of every distinct mention in lists of entities."""
+    """mention, kind, replacement of every distinct mention in lists of entities (found)."""
     found = lists.select(F.explode(F.array_distinct("found")).alias("mention")).distinct()
-    found = materialize(found.withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("mention"), F.col("kind"))), "pii-mentions")
-    given = assign(found.select("kind", "canon").distinct(), key)
-    return materialize(found.join(given, ["kind", "canon"]).select("mention", "kind", "canon", render(F.col("mention"), F.col("kind"), F.col("surrogate")).alias("replacement")), "pii-map")
+    found = found.withColumn("kind", kind_of(F.col("mention")))
+    found = materialize(found.withColumn("parts", parts(F.col("mention"), F.col("kind"))), "pii-mentions")
+    each = found.select("mention", F.posexplode("parts").alias("at", "part")).select("mention", "at", "part.*")
+    given = assign(each.select("kind", "canon").distinct(), key)
+    # At most two parts for each mention.
+    named = each.join(given, ["kind", "canon"]).groupBy("mention").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates"))
+    return materialize(found.join(named, "mention").select("mention", "kind", render(F.col("mention"), F.col("kind"), F.col("surrogates")).alias("replacement")), "pii-map")
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with all entities of the text replaced; count_col: also how many there were."""
-    lists = entity_lists(docs, text_col)
-    table = mentions(lists, key)
+    """docs with all entities of the text replaced; count_col: also how many there were, under a free name."""
+    count_col = count_col and free_name(docs.columns, count_col)
+    # Patterns run over the texts once; the rows are written with what was found, and rewritten from there.
     boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), entities(F.col(f"`{text_col}`")).alias("found"))
+    boxed = materialize(boxed, "pii-found")
     listed = boxed.where(F.size("found") > 0).withColumn("sig", _signature("found"))
+    lists = materialize(listed.select("sig", "found").groupBy("sig").agg(F.first("found").alias("found")), "pii-lists")
+    table = mentions(lists, key)
     maps = lists.select("sig", F.explode(F.array_distinct("found")).alias("mention")).join(table.select("mention", "replacement"), "mention")
     maps = materialize(maps.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("to")), "pii-maps")
-    between = F.split(F.col("doc")[text_col], ENTITY, -1)
+    text = F.col("doc").getField(text_col)
+    between = F.split(text, ENTITY, -1)
     spliced = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.try_element_at("to", F.get("found", i)), F.lit("")))), "")
-    fields = [F.col("doc").getField(c).alias(c) if c != text_col else spliced.alias(c) for c in docs.columns]
     extra = [F.size("found").cast("long").alias(count_col)] if count_col else []
-    changed = listed.join(maps, "sig").select(*fields, *extra)
-    clean = docs.where(F.size(entities(F.col(f"`{text_col}`"))) == 0)
-    clean = clean.withColumn(count_col, F.lit(0).cast("long")) if count_col else clean
-    return clean.unionByName(changed)
+    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    changed = listed.join(maps, "sig").select(*(c if n != text_col else spliced.alias(n) for n, c in zip(docs.columns, columns, strict=True)), *extra)
+    return boxed.where(F.size("found") == 0).select(*columns, *extra).unionByName(changed)

@@ -50,3 +50,50 @@ def test_collisions_are_drawn_again(spark):
     known = spark.range(3000).select(F.lit("ssn").alias("kind"), F.format_string("%04d", "id").alias("canon"))
     got = s.assign(known, "key").toPandas()
     assert len(got) == 3000 and got.surrogate.is_unique and not set(got.surrogate) & set(got.canon)
+
+
+def test_a_space_smaller_than_its_values_is_widened(spark):
+    known = spark.range(60).select(F.lit("ssn").alias("kind"), F.format_string("%02d", "id").alias("canon"))
+    names = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "given_f").otherwise("given_m").alias("kind"), F.format_string("name%d", "id").alias("canon"))
+    got = s.assign(known.union(names), "key").toPandas()
+    assert len(got) == 3060 and got.surrogate.is_unique and not set(got.surrogate) & set(got.canon)
+
+
+def test_one_surrogate_for_a_family_name(spark):
+    texts = {1: "Mr John Smith came. Mr Smith left. Mrs. Smith and Mrs Jane Smith stayed, Mr. J. Smith and Mr J Smith too. Mr John Miller.", 2: "Mrs Jane Smith"}
+    got = {r.doc_id: r.text for r in s.pseudonymise(frame(spark, texts), "key").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left\. Mrs\. (\w+) and Mrs (\w+) (\w+) stayed, Mr\. (\w)\. (\w+) and Mr (\w) (\w+) too\. Mr (\w+) (\w+)\.", got[1])
+    assert m and len({m[2], m[3], m[4], m[6], m[8], m[10]}) == 1 and m[2] != m[12]
+    assert m[1] == m[11] != m[5] and m[7] == m[9] and got[2] == f"Mrs {m[5]} {m[6]}"
+    assert "Smith" not in got[1] and "John" not in got[1]
+
+
+def test_case_of_a_mention_and_clashing_count(spark):
+    df = frame(spark, {1: "write to John.Smith@mail.com now"}).withColumn("n", F.lit(9))
+    row = s.pseudonymise(df, "key", count_col="n").first()
+    assert re.fullmatch(r"write to [A-Z][a-z]{3}\.[A-Z][a-z]{4}@[a-z]{4}\.example\.com now", row.text)
+    assert row.n == 9 and row.n_ == 1
+
+
+def test_against_brute_force(spark):
+    """Every mention is replaced wherever it stands, injectively and alike in all texts; what lies between stays."""
+    import random
+
+    rnd = random.Random(4)
+    people = [f"{t} {g} {f}" for t, g in (("Mr", "John"), ("Mrs", "Jane"), ("Herr", "Hans")) for f in ("Smith", "Braun", "Ito")]
+    values = people + [f"u{k}@mail{k % 3}.org" for k in range(8)] + [f"192.168.{k}.77" for k in range(1, 9)] + [f"+1 (555) 010-{k:04d}" for k in range(8)] + [f"{k:03d}-45-6789" for k in range(8)]
+    filler = "some plain words stand here and there".split()
+    cut = re.compile("|".join(sorted(map(re.escape, values), key=len, reverse=True)))
+    texts = {i: " ".join(f"{rnd.choice(values)} {rnd.choice(filler)}" if rnd.random() < 0.3 else rnd.choice(filler) for _ in range(60)) for i in range(40)}
+    got = {r.doc_id: r.text for r in s.pseudonymise(frame(spark, texts), "key").collect()}
+    seen = {}
+    for i, old in texts.items():
+        at, pattern = 0, ""
+        for k, m in enumerate(cut.finditer(old)):
+            pattern += re.escape(old[at : m.start()]) + r"(.+?)"
+            at = m.end()
+        found = re.fullmatch(pattern + re.escape(old[at:]), got[i])
+        assert found, (old, got[i])
+        for m, new in zip(cut.finditer(old), found.groups(), strict=True):
+            assert seen.setdefault(m[0], new) == new != m[0]
+    assert len(set(seen.values())) == len(seen)
