@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.llm import decontamination, licences, packing, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, warc
-from streamloom.llm.common import held_out
+from streamloom.llm.common import held_out, materialize
 
 
 #: The key of registered queries; a caller of surrogates.pseudonymise gives a secret one.
@@ -69,13 +69,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.fails("base.1").alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy rejects, alone and with others, from a ledger that is written once."""
+    ledger = materialize(quality_rules.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    return quality_rules.ablations(ledger, "web.1")
+
+
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return found | {"quality_rule_ablations": quality_rule_ablations}
 
 
 #: Shingles of five words of a table d(id, text), spelled out.
@@ -125,6 +132,12 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
 
+ABLATIONS_SQL = f"""
+WITH l AS ({OP9_SQL}), r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16))
+SELECT rule, count(*) AS n_failed, CAST(sum(CASE WHEN fail_bits = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only, bit_and(fail_bits) AS always_with, bit_or(fail_bits) AS ever_with
+FROM l JOIN r ON (fail_bits & bit) <> 0 GROUP BY rule
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest, min(page_id) AS first_id FROM p WHERE octet_length(body) >= 100 GROUP BY digest)
@@ -136,4 +149,4 @@ FROM p LEFT JOIN f USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "op10_warc_roundtrip": OP10_SQL}
+    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op10_warc_roundtrip": OP10_SQL}
