@@ -12,6 +12,8 @@
    offset range and a hash of the core, in ever smaller ranges until no group holds too many. Ranges of one offset have
    one content each.
 4. Repeated windows are united within each document.
+5. Passages of over 50 words may have fewer bytes than `size`. Beside what is removed, documents are told how many of their word
+   grams, chosen by local minima, a different text also has; nothing is removed for that.
 
 Buckets of fragments are bounded, so that the columns stay in a task's memory instead of external files.
 Keys are hashes: 64 bits of anchor and of content together, 128 bits for texts.
@@ -43,6 +45,10 @@ CROWDED = 1024
 #: Widths of offset ranges, from fragments as they are to single offsets.
 WIDTHS = (0, 48, 6, 1)
 
+#: Words of a gram, neighbouring grams of which the least is chosen, and different words of a passage's gram: any two texts with a run of
+#: over 50 words in common have a gram in common.
+PASSAGE_GRAM, PASSAGE_SPAN, PASSAGE_WORDS = 24, 28, 10
+
 _SEED = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, np.uint64)) ^ (np.arange(256, dtype=np.uint64) << np.uint64(40))
 
 
@@ -131,6 +137,52 @@ def repeated_columns(strings: list[bytes], offsets: np.ndarray, groups: np.ndarr
     return flags
 
 
+def passage_grams(data: bytes) -> np.ndarray:
+    """Hashes of the PASSAGE_GRAM-word grams of a text that are the least among PASSAGE_SPAN neighbouring ones: two texts with a run of
+    PASSAGE_GRAM + PASSAGE_SPAN - 1 words in common have one in common. Grams of few different words are left out."""
+    words = data.split()
+    n = len(words) - PASSAGE_GRAM - PASSAGE_SPAN + 2
+    if n < 1:
+        return np.empty(0, np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    known = {w: digest(w) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    by = {1: h}
+    for size in (2, 4, 8, 16):
+        half = by[size // 2]
+        mixed = half[: -(size // 2)] * np.uint64(0xD6E8FEB86659FD93 + 2 * size) + half[size // 2 :]
+        by[size] = mixed ^ (mixed >> np.uint64(31))
+    grams = by[16][: len(words) - PASSAGE_GRAM + 1] * np.uint64(0xFF51AFD7ED558CCD) + by[8][16 : 16 + len(words) - PASSAGE_GRAM + 1]
+    grams ^= grams >> np.uint64(29)
+    least, span = grams, 1
+    while 2 * span <= PASSAGE_SPAN:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    least = np.minimum(least[:n], least[PASSAGE_SPAN - span : PASSAGE_SPAN - span + n])
+    chosen, first = np.unique(grams, return_index=True)
+    keep = np.isin(chosen, least)
+    starts = first[keep]
+    varied = [len(set(words[k : k + PASSAGE_GRAM])) >= PASSAGE_WORDS for k in starts.tolist()]
+    return chosen[keep][np.array(varied, bool)].view(np.int64)
+
+
+def shared_passages(rows: DataFrame) -> DataFrame:
+    """t1, t2, n_shared of texts (t1, t2, data) that have passages in common with a different text: how many of their grams."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [passage_grams(d.as_py()) for d in b.column(2)]
+            n = np.array([len(f) for f in found], np.int64)
+            t1, t2 = (np.repeat(b.column(k).to_numpy(), n) for k in (0, 1))
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate([*found, np.empty(0, np.int64)])), "t1": pa.array(t1), "t2": pa.array(t2)})
+
+    grams = materialize(rows.select("t1", "t2", "data").mapInArrow(cut, "gram long, t1 long, t2 long"), "passages-grams")
+    both = grams.groupBy("gram").agg(F.min(F.struct("t1", "t2")).alias("lo"), F.max(F.struct("t1", "t2")).alias("hi")).where("lo <> hi").select("gram")
+    met = grams.join(materialize(both, "passages-shared"), "gram", "left_semi")
+    # Copies of a text have its grams each: they are counted once.
+    return materialize(met.groupBy("t1", "t2").agg(F.count_distinct("gram").alias("n_shared")), "passages-met")
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of true values."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
@@ -216,7 +268,8 @@ def _text_key(data: Column) -> list[Column]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, crowded: int = CROWDED, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and n_shared, the number of word grams that show a passage of
+    over 50 words in common with a different text, be it shorter than `size` bytes or not."""
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), data.alias("data")).select("doc_id", "data", *_text_key(F.col("data")))
     frag = {"t1": pa.int64(), "t2": pa.int64(), "start": pa.int32(), "end": pa.int32(), "pos": pa.int32(), "key": pa.int64(), "unit": pa.int64()}
@@ -269,4 +322,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= size)).select("t1", "t2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
     changed = materialize(partly.unionByName(copied), "passages-changed")
     zero = F.lit(0).cast("long")
-    return heads.join(changed, ["t1", "t2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    out = heads.join(changed, ["t1", "t2"], "left").join(shared_passages(rows), ["t1", "t2"], "left")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("n_shared", zero).alias("n_shared"))

@@ -56,3 +56,17 @@ def test_empty_table_and_null_ids(spark):
     assert s.remove_repeats(df).count() == 0
     two = spark.createDataFrame([(None, "y" * 500), (None, "z z" * 200)], "doc_id long, text string")
     assert sorted(r.n_removed for r in s.remove_repeats(two).collect()) == [500, 600]
+
+
+def test_passages_of_over_fifty_words_that_are_shorter_than_size(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 9000, n))
+    short, other = words(51), words(70)
+    assert len(short) < s.SIZE
+    clean = [words(int(n)) for n in rng.integers(1, 300, 60)]
+    copied = words(90)
+    texts = [f"{words(30)} {short} {words(9)}", f"{words(3)} {short}", f"{other}\n{words(40)}", f"{words(80)} {other}", *clean, copied, copied, "Shti " * 300, "Shti " * 200 + words(60), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in s.remove_repeats(df).collect()}
+    assert {i for i, r in got.items() if r.n_shared} == {0, 1, 2, 3}
+    assert got[0].n_removed == got[1].n_removed == 0 and got[64].n_removed == len(copied)
