@@ -38,11 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table of materialize() that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 2)[-2] for f in df.inputFiles()}:
+        for known in [p for p in _made if p.rsplit("/", 1)[-1] == name]:
+            _delete(spark, known)
+            _made.discard(known)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _remove(spark: SparkSession) -> None:
     for path in sorted(_made):
         try:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit; a scratch folder then stays  # noqa: BLE001
             return
         _made.discard(path)

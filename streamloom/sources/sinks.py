@@ -72,7 +72,8 @@ def phase_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 4
 def _names(suffix: Column | None) -> Column:
     """The name of each row's managed file: file_no keeps files apart whose suffixes are equal."""
     tail = F.coalesce((F.col("suffix_argument") if suffix is None else suffix).cast("string"), F.lit(""))
-    return F.concat(F.lpad(F.col("file_no").cast("string"), 8, "0"), tail)
+    # Not nullable: the writer then keeps the order within a name instead of sorting by names again.
+    return F.coalesce(F.concat(F.lpad(F.col("file_no").cast("string"), 8, "0"), tail), F.lit(""))
 
 
 def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, header: str, line: Callable[[Column], Column], suffix: Column | None = None) -> DataFrame:
@@ -82,8 +83,8 @@ def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, head
     heads = found.select("name").distinct().select(F.lit(-1).cast("long").alias("idx"), "name", F.lit(header).alias("value"))
     ordered = heads.unionByName(found).repartitionByRange("name", "idx").sortWithinPartitions("name", "idx")
     ordered.select("name", "value").write.partitionBy("name").mode("overwrite").text(path)
-    written = df.sparkSession.read.text(path)
-    return written.select(F.col("name").cast("string").alias("name"), F.input_file_name().alias("f")).groupBy("name").agg((F.count("*") - 1).alias("n_lines"), F.count_distinct("f").alias("n_parts"))
+    written = df.sparkSession.read.schema("value string, name string").text(path)
+    return written.select("name", F.input_file_name().alias("f")).groupBy("name").agg((F.count("*") - 1).alias("n_lines"), F.count_distinct("f").alias("n_parts"))
 
 
 def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate: float, bits: int = 16, suffix: Column | None = None) -> DataFrame:

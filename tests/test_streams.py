@@ -238,6 +238,21 @@ def test_csv_and_function_sinks(spark, tmp_path):
     assert [a[0] for a in seen] == ["write", "write", "write", "close"]
 
 
+def test_managed_files_keep_the_order(spark, tmp_path, ten_ranges):
+    df = spark.range(3000).select(((F.col("id") * 1009) % 3000).alias("idx")).withColumn("value", F.col("idx") / 4096)
+    signals = F.when(F.col("idx").isin(700, 2500), managed.FLUSH).when(F.col("idx") == 1000, managed.CLOSE_GATE).when(F.col("idx") == 1500, managed.OPEN_GATE).otherwise(managed.NOOP)
+    files = sinks.managed_csv(df, signals, F.col("idx"), str(tmp_path / "csv"), "head", lambda v: (v * 4096).cast("long").cast("string")).collect()
+    want = {"00000000": range(700), "00000001700": range(700, 1000), "000000021500": range(1500, 2500), "000000032500": range(2500, 3000)}
+    for name, numbers in want.items():
+        lines = [x for f in sorted((tmp_path / "csv" / f"name={name}").glob("part-*")) for x in f.read_text().splitlines()]
+        assert lines == ["head", *map(str, numbers)]
+    assert {r.name: r.n_lines for r in files} == {n: len(k) for n, k in want.items()} and max(r.n_parts for r in files) > 1
+    found = sinks.managed_wav(df, signals, F.col("idx"), f"file://{tmp_path}/wav", 1000.0).collect()
+    assert {r.name: r.n_samples for r in found} == {f"{n}.wav": len(k) for n, k in want.items()}
+    got = values(pcm.wave(spark, str(tmp_path / "wav" / "000000021500.wav"), resample=False), spark)
+    assert np.allclose(got, np.arange(1500, 2500) / 4096, atol=4e-5)
+
+
 def test_tables(spark, tmp_path):
     registry = tables.Registry()
     t = registry.register(tables.TimeTable(spark, "t", str(tmp_path / "t"), 1000.0))
