@@ -1,72 +1,16 @@
-"""What the operators of this subpackage share: intermediate tables, text normalisation, held-out folds."""
+"""What the operators of this subpackage share: rows by keys, text normalisation, held-out folds, and intermediate tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.scratch import discard, fresh_path, materialize  # noqa: F401
+
 #: The ASCII white space that separates words in every contract, as a class for Java, RE2 and Python.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streamloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when this Python process ends."""
-    path = f"{shared_dir(spark)}/streamloom-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove, spark)
-    _made.add(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage is cut, executors may be lost afterwards."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table of materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        name = path.rsplit("/", 1)[-1]
-        for known in [p for p in _made if p.rsplit("/", 1)[-1] == name]:
-            _delete(spark, known)
-            _made.discard(known)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def _remove(spark: SparkSession) -> None:
-    for path in list(_made):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may be gone at exit; a scratch folder then stays  # noqa: BLE001
-            return
-        _made.discard(path)
-
-
 #: Bits of the table that tells which keys may be in a set, and of one of its rows.
 KEY_BITS, ROW_BITS = 1 << 23, 32_768
 
