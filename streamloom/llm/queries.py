@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm import decontamination, licences, packing, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, warc
+from streamloom.llm import ball_kmeans, decontamination, licences, packing, prefix_trie, quality_model, quality_rules, simhash, substrings, surrogates, toxicity, url_filter, warc
 from streamloom.llm.common import held_out, materialize
 
 
@@ -80,6 +80,18 @@ def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("e1", "e2")
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return found | {"quality_rule_ablations": quality_rule_ablations}
@@ -149,4 +161,5 @@ FROM p LEFT JOIN f USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op10_warc_roundtrip": OP10_SQL}
+    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op10_warc_roundtrip": OP10_SQL,
+            "op11_ball_clusters": ball_kmeans.oracle(), "op12_prefix_trie": prefix_trie.ORACLE, "op13_url_filter": url_filter.oracle()}
