@@ -485,13 +485,14 @@ def resample_vectors(spark, sf_dir):
 _Z = f"{_S}, z AS (SELECT idx, v AS a, idx % 7 - 3.0 AS b, idx % 3 + 1.0 AS c, v / 2 AS d FROM s)"
 
 
-@query(f"WITH {_Z}, m AS (SELECT *, (a * c - b * d + 2 - a) / 4 AS re, (a * d + b * c - b) / 4 AS im FROM z) SELECT idx, round(re, 6) AS re, round(im, 6) AS im, round(sqrt(re * re + im * im), 6) AS size, round(re - sqrt(re * re + im * im) * cos(atan2(im, re)), 6) + 0.0 AS off FROM m")
+@query(f"WITH {_Z}, m AS (SELECT *, (a * c - b * d + 2 - a) / 4 AS re, (a * d + b * c - b) / 4 AS im FROM z) SELECT idx, round(re, 8) AS re, round(im, 8) AS im, round(sqrt(re * re + im * im), 6) AS size, round(re - sqrt(re * re + im * im) * cos(atan2(im, re)), 6) + 0.0 AS off FROM m")
 def complex_arithmetic(spark, sf_dir):
     df, i = signal(spark, sf_dir).build(spark, RATE), F.col("idx")
     z, w = cx.complex_of(F.col("value"), i % 7 - 3.0), cx.complex_of(i % 3 + 1.0, F.col("value") / 2)
+    # Eight digits: values of two decimals make ties at the seventh.
     found = df.select("idx", cx.scale(cx.add(cx.subtract(cx.multiply(z, w), z), cx.complex_of(2.0)), 0.25).alias("z"))
     back = cx.polar(cx.absolute(F.col("z")), cx.angle(F.col("z")))
-    return found.select("idx", F.round("z.re", 6).alias("re"), F.round("z.im", 6).alias("im"), F.round(cx.absolute(F.col("z")), 6).alias("size"), (F.round(cx.subtract(F.col("z"), back)["re"], 6) + 0.0).alias("off"))
+    return found.select("idx", F.round("z.re", 8).alias("re"), F.round("z.im", 8).alias("im"), F.round(cx.absolute(F.col("z")), 6).alias("size"), (F.round(cx.subtract(F.col("z"), back)["re"], 6) + 0.0).alias("off"))
 
 
 @query(f"WITH {_S}, {_windows(8, 8)} SELECT wid AS idx, b.range AS k, round(sum(v * cos(2 * pi() * b.range * i / 8)), 5) AS re, round(-sum(v * sin(2 * pi() * b.range * i / 8)), 5) AS im FROM w, range(0, 8) b WHERE n = 8 GROUP BY ALL")

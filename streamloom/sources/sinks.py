@@ -92,8 +92,7 @@ def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate
     n_samples and n_bytes."""
     found = managed.files(df, signal, argument).select("idx", "value", "file_no", F.concat(_names(suffix), F.lit(".wav")).alias("name"))
     # Within a file elements may be missing where a gate was closed, so places are counted along the whole stream.
-    rows, part, place = indexing.ranged(found, ["idx"])
-    counted = indexing.carry(rows, part, place, F.lit(1).cast("long"), "before", "sum").withColumn("before", F.coalesce("before", F.lit(0)))
+    counted = indexing.dense_index(found, ["idx"], "before")
     starts = counted.groupBy("name").agg(F.min("before").alias("start"))
     dense = counted.join(starts, "name").select((F.col("before") - F.col("start")).alias("idx"), "value", "name")
     return pcm.write_wav_parts(dense, path, rate, bits, names="name")
