@@ -6,7 +6,7 @@ Turns are reduced to two 64-bit hashes and a length where they are read; no text
 
 Runs of nodes that the same conversations go through are one chain, of which there are at most twice as many as conversations.
 Chains are dealt to shards by prefix: below each chain with more than `members` conversations, every branch with no more is a
-shard. In a task numpy orders it by levels as a LOUDS bit vector with an array of labels, and adds up leaves and savings in reverse
+shard. In a task numpy orders a few shards, a forest, by levels as a LOUDS bit vector with an array of labels, and adds up leaves and savings in reverse
 breadth-first order. What remains, the heavy upper levels, takes the totals of the shards and is merged in the same way with
 `members` squared, cubed and so on, until the root is done.
 """
@@ -27,8 +27,8 @@ from streamloom.llm.common import discard, materialize
 #: A conversation begins with fewer than SHARE turns of the first one of its GROUP.
 SHARE, GROUP = 6, 100
 
-#: Most conversations of a shard on the first level.
-MEMBERS = 1024
+#: Most conversations of a shard on the first level, and chains that a task takes at a time: the shards of a hash, which are few.
+MEMBERS, CHAINS = 256, 1024
 
 #: Odd multipliers of the two polynomials (fixed values, 64 random bits each).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -265,7 +265,7 @@ def parents_of(bits: np.ndarray) -> np.ndarray:
 
 
 def _rollup(table: pa.Table) -> pa.Table:
-    """Leaves and savings of whole subtrees, of the chains of one shard."""
+    """Leaves and savings of whole subtrees, of the chains of some shards."""
     conv, n, pconv, pn, leaves, saved = (table.column(c).to_numpy() for c in ("conv", "n", "pconv", "pn", "leaves", "saved"))
     m = len(conv)
     keys, at = np.unique(np.concatenate([np.stack([conv, n], 1), np.stack([pconv, pn], 1)]), axis=0, return_inverse=True)
@@ -284,7 +284,8 @@ def _rollup(table: pa.Table) -> pa.Table:
 def _totals(chains: DataFrame, found: DataFrame, members: int) -> DataFrame:
     """(conv, n, leaves, saved) of the subtrees of all chains (conv, n, pconv, pn, tail key, leaves and saved of their own)."""
     schema = "conv long, n long, pconv long, pn long, leaves long, saved long, top boolean"
-    most = chains.agg(F.max("n")).first()[0] or 0
+    most, n_chains = chains.agg(F.max("n"), F.count("*")).first()
+    most, groups = most or 0, max(1, n_chains // CHAINS)
     done, open_, limit = [], chains, members
     while True:
         if most <= limit:
@@ -293,7 +294,7 @@ def _totals(chains: DataFrame, found: DataFrame, members: int) -> DataFrame:
             tails = open_.where(F.col("n") > limit).select(F.col("tail_d").alias("a"), F.col("tail_1").alias("b"), F.col("tail_2").alias("c"))
             below = found.where("d > 0").join(tails, (F.col("d") - 1 == F.col("a")) & (F.col("q1") == F.col("b")) & (F.col("q2") == F.col("c")))
             tops = below.groupBy("conv").agg(F.max("d").alias("s0"), F.max_by("p1", "d").alias("s1"), F.max_by("p2", "d").alias("s2"))
-            shards = open_.where(F.col("n") <= limit).join(tops.withColumnRenamed("conv", "of"), F.col("conv") == F.col("of")).groupBy("s0", "s1", "s2")
+            shards = open_.where(F.col("n") <= limit).join(tops.withColumnRenamed("conv", "of"), F.col("conv") == F.col("of")).groupBy(F.pmod(F.xxhash64("s0", "s1", "s2"), F.lit(groups)).alias("shards"))
         rolled = materialize(shards.applyInArrow(_rollup, schema), "shards")
         done.append(rolled.select("conv", "n", "leaves", "saved"))
         if most <= limit:
