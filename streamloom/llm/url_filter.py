@@ -145,19 +145,21 @@ def held_out(text: Column) -> Column:
 
 def threshold(labelled: DataFrame) -> float:
     """Of scored rows (score, allowed), the value in steps below which most of the blocked ones and least of the allowed ones lie: the
-    greatest difference of shares, the value nearest to 0 and then the smaller one of equals; 0 if either class has no rows."""
-    bins = labelled.groupBy(F.floor(F.col("score") * STEPS).alias("bin"), "allowed").agg(F.count("*").alias("n")).collect()
-    n = {c: sum(r.n for r in bins if r.allowed == c) for c in (True, False)}
-    if not all(n.values()):
+    greatest difference of shares; of equals the value nearest to 0, and then the smaller one; 0 if either class has no rows."""
+    n: dict[int, list[int]] = {}
+    for r in labelled.groupBy(F.floor(F.col("score") * STEPS).alias("bin"), "allowed").agg(F.count("*").alias("n")).collect():
+        n.setdefault(r.bin, [0, 0])[r.allowed] += r.n
+    blocked, allowed = (sum(x[c] for x in n.values()) for c in (0, 1))
+    if not blocked or not allowed:
         return 0.0
-    best, below = None, {True: 0, False: 0}
-    for edge in sorted({r.bin for r in bins}):
-        for r in bins:
-            if r.bin == edge:
-                below[r.allowed] += r.n
-        found = (-(below[False] / n[False] - below[True] / n[True]), abs(edge + 1), edge + 1)
-        best = found if best is None or found < best else best
-    return best[2] / STEPS
+    bins, below, found = sorted(n), [0, 0], []
+    for k, low in enumerate(bins):
+        below = [below[0] + n[low][0], below[1] + n[low][1]]
+        # Any value from the end of this bin to the start of the next one parts the rows alike.
+        high = bins[k + 1] if k + 1 < len(bins) else low + 1
+        edge = max(low + 1, min(0, high))
+        found.append((-(below[0] / blocked - below[1] / allowed), abs(edge), edge))
+    return min(found)[2] / STEPS
 
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, keep: list[str] | None = None) -> DataFrame:
@@ -227,7 +229,7 @@ q AS (SELECT r, round(avg(ln(x.p) - ln(y.p)), 9) AS score FROM grams
   JOIN p{ORDER} x ON x.allowed AND x.h = g[1:{ORDER}] AND x.s = g[{ORDER + 1}] JOIN p{ORDER} y ON NOT y.allowed AND y.h = x.h AND y.s = x.s GROUP BY r),
 k AS (SELECT w.*, rule IN ({allow}) AS allowed, coalesce(score, 0) AS score FROM w LEFT JOIN q USING (r)),
 b AS (SELECT floor(score * {STEPS}) AS bin, count(*) FILTER (WHERE allowed) AS na, count(*) FILTER (WHERE NOT allowed) AS nb FROM k WHERE rule IS NOT NULL AND out GROUP BY ALL),
-e AS (SELECT bin + 1 AS edge, sum(nb) OVER o / sum(nb) OVER () - sum(na) OVER o / sum(na) OVER () AS gain FROM b WINDOW o AS (ORDER BY bin)),
+e AS (SELECT greatest(bin + 1, least(0, coalesce(lead(bin) OVER o, bin + 1))) AS edge, sum(nb) OVER o / sum(nb) OVER () - sum(na) OVER o / sum(na) OVER () AS gain FROM b WINDOW o AS (ORDER BY bin)),
 m AS (SELECT coalesce((SELECT edge FROM e WHERE gain IS NOT NULL AND isfinite(gain) ORDER BY gain DESC, abs(edge), edge LIMIT 1), 0) / {STEPS} AS least,
   (SELECT count(DISTINCT allowed) FROM grams WHERE learnt) = 2 AS ready)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({allow}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN ready AND score < least THEN 'block' ELSE 'allow' END AS verdict,
