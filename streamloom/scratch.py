@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from streamloom.sources.files import qualified
+
 _made: set[str] = set()
 
 
@@ -23,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when this Python process ends."""
-    path = f"{shared_dir(spark)}/streamloom-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, with its scheme; it is removed when this Python process ends."""
+    path = qualified(spark, f"{shared_dir(spark)}/streamloom-{name}-{uuid.uuid4().hex}")
     if not _made:
         atexit.register(_remove, spark)
     _made.add(path)
