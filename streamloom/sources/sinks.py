@@ -69,7 +69,7 @@ def phase_to_csv(stream: Stream, spark: SparkSession, path: str, rate: float = 4
     write_lines(spectrum_lines(df, spectral.phase, unit), path, spectrum_header(df), single)
 
 
-def _names(suffix: Column | None) -> Column:
+def names(suffix: Column | None) -> Column:
     """The name of each row's managed file: file_no keeps files apart whose suffixes are equal."""
     tail = F.coalesce((F.col("suffix_argument") if suffix is None else suffix).cast("string"), F.lit(""))
     # Not nullable: the writer then keeps the order within a name instead of sorting by names again.
@@ -79,7 +79,7 @@ def _names(suffix: Column | None) -> Column:
 def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, header: str, line: Callable[[Column], Column], suffix: Column | None = None) -> DataFrame:
     """Elements (idx, value) with signals in band to text, a folder path/name=<number><suffix> for each file of ordered parts, each with
     the header. idx counts on while a gate is closed. Returns name, n_lines and n_parts."""
-    found = managed.files(df, signal, argument).select("idx", _names(suffix).alias("name"), line(F.col("value")).alias("value"))
+    found = managed.files(df, signal, argument).select("idx", names(suffix).alias("name"), line(F.col("value")).alias("value"))
     heads = found.select("name").distinct().select(F.lit(-1).cast("long").alias("idx"), "name", F.lit(header).alias("value"))
     ordered = heads.unionByName(found).repartitionByRange("name", "idx").sortWithinPartitions("name", "idx")
     ordered.select("name", "value").write.partitionBy("name").mode("overwrite").text(path)
@@ -90,9 +90,14 @@ def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, head
 def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate: float, bits: int = 16, suffix: Column | None = None) -> DataFrame:
     """Samples (idx, value) with signals in band to WAV, a folder path/<number><suffix>.wav of parts for each file. Returns name, part,
     n_samples and n_bytes."""
-    found = managed.files(df, signal, argument).select("idx", "value", "file_no", F.concat(_names(suffix), F.lit(".wav")).alias("name"))
+    found = managed.files(df, signal, argument).select("idx", "value", "file_no", F.concat(names(suffix), F.lit(".wav")).alias("name"))
+    return wav_by_name(found, ["idx"], path, rate, bits)
+
+
+def wav_by_name(found: DataFrame, order_by: list[str], path: str, rate: float, bits: int = 16) -> DataFrame:
+    """Samples (value, name) to WAV, a folder of parts for each name."""
     # Within a file elements may be missing where a gate was closed, so places are counted along the whole stream.
-    counted = indexing.dense_index(found, ["idx"], "before")
+    counted = indexing.dense_index(found, order_by, "before")
     starts = counted.groupBy("name").agg(F.min("before").alias("start"))
     dense = counted.join(starts, "name").select((F.col("before") - F.col("start")).alias("idx"), "value", "name")
     return pcm.write_wav_parts(dense, path, rate, bits, names="name")

@@ -1,16 +1,56 @@
-"""Streams with control signals in band: which file each element goes to."""
+"""Streams with control signals in band: which file each element goes to.
+
+The machine has a small state. Over a whole table its parts are carried along by windows or range by range (files()); advance() goes on
+from a state and tells the next one, for streams that come in batches; step() is the same for the rows of one key in a task."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamloom.operators import indexing
+from streamloom.scratch import materialize
 
 # The signals.
 NOOP, FLUSH, OPEN_GATE, CLOSE_GATE, CLOSE_OUTPUT = 0, 1, 2, 3, 4
 
 
+@dataclass(frozen=True)
+class State:
+    """What a stream has come to: whether its gate is open, its output closed, anything written; its file's number and argument."""
+
+    open: bool = True
+    ended: bool = False
+    some: bool = False
+    file_no: int = 0
+    argument: Any = None
+
+
+def step(signal: np.ndarray, argument: np.ndarray, state: State) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, State]:
+    """Elements of one stream in order: which are written, which of those begin a file, their file's number and its argument; the
+    state after them. The rules are those of files()."""
+    n = len(signal)
+    turns = np.where(np.isin(signal, (OPEN_GATE, CLOSE_GATE)), np.arange(n), -1)
+    at = np.maximum.accumulate(turns) if n else turns
+    is_open = np.where(at >= 0, signal[np.maximum(at, 0)] == OPEN_GATE, state.open)
+    was_open = np.concatenate([[state.open], is_open[:-1]])[:n]
+    closes = np.cumsum(signal == CLOSE_OUTPUT)
+    written = is_open & ~(state.ended | (closes - (signal == CLOSE_OUTPUT) > 0))
+    count = np.cumsum(written)
+    some = state.some | (count - written > 0)
+    starts = written & (((signal == FLUSH) & some) | ((signal == OPEN_GATE) & ~was_open))
+    file_no = state.file_no + np.cumsum(starts)
+    last = np.maximum.accumulate(np.where(starts, np.arange(n), -1)) if n else turns
+    arguments = np.array([state.argument, *argument], object)[last + 1]
+    if n:
+        state = State(bool(is_open[-1]), bool(state.ended | (closes[-1] > 0)), bool(state.some | (count[-1] > 0)), int(file_no[-1]), arguments[-1])
+    return written, written & (starts | ~some), file_no, arguments, state
+
+
 def files(df: DataFrame, signal: Column, argument: Column, keys: list[str] | None = None) -> DataFrame:
     """The rows that are written, with file_no and suffix_argument; df has idx.
 
@@ -20,6 +60,31 @@ def files(df: DataFrame, signal: Column, argument: Column, keys: list[str] | Non
     it, the first file has none. keys: one stream for each key, in windows. Without keys the state runs over the whole stream,
     range by range: each is summed up and goes on from what those before it come to.
     """
+    s, dropped = _marked(df, signal, argument, keys, State())
+    return s.where("_written = 1").drop(*_PARTS, *dropped)
+
+
+def advance(df: DataFrame, signal: Column, argument: Column, state: State) -> tuple[DataFrame, State]:
+    """files() of the next elements of a stream without keys that has come to a state, with `begins` on the first row of each file; and the
+    state after them. df has idx."""
+    marked, dropped = _marked(df, signal, argument, None, state)
+    s = materialize(marked.withColumn("begins", (F.coalesce("_starts", F.lit(0)) == 1) | (F.col("_some") == 0)), "marked")
+    known = F.when(F.col("_gate").isNotNull(), F.col("idx"))
+    found = s.agg(
+        F.max_by("_gate", known).alias("gate"), F.max((F.col("_s") == CLOSE_OUTPUT).cast("int")).alias("ended"), F.max("_written").alias("some"),
+        F.max("file_no").alias("file_no"), F.max_by("_arg", F.when(F.col("_starts") == 1, F.col("idx"))).alias("argument"), F.max("_starts").alias("starts"), F.count("*").alias("n"),
+    ).first()
+    if found["n"]:
+        state = State(state.open if found["gate"] is None else bool(found["gate"]), state.ended or bool(found["ended"]), state.some or bool(found["some"]), found["file_no"], found["argument"] if found["starts"] else state.argument)
+    return s.where("_written = 1").drop(*_PARTS, *dropped), state
+
+
+#: Columns of the machine that _marked() adds.
+_PARTS = ["_s", "_arg", "_gate", "_was", "_open", "_ended", "_written", "_some", "_starts"]
+
+
+def _marked(df: DataFrame, signal: Column, argument: Column, keys: list[str] | None, state: State) -> tuple[DataFrame, list[str]]:
+    """All rows with the parts of the machine, and the names of further columns."""
     s = df.withColumn("_s", signal).withColumn("_arg", argument)
     if keys:
         every = Window.partitionBy(*keys).orderBy("idx")
@@ -36,13 +101,22 @@ def files(df: DataFrame, signal: Column, argument: Column, keys: list[str] | Non
             return indexing.carry(rows, part, place, column, name, how, inclusive)
 
         dropped = [part, place]
-    gate = F.when(F.col("_s").isin(OPEN_GATE, CLOSE_GATE), (F.col("_s") == OPEN_GATE).cast("int"))
-    s = scan(scan(s, gate, "_was", "last"), gate, "_open", "last", True)
+    s = s.withColumn("_gate", F.when(F.col("_s").isin(OPEN_GATE, CLOSE_GATE), (F.col("_s") == OPEN_GATE).cast("int")))
+    s = scan(scan(s, F.col("_gate"), "_was", "last"), F.col("_gate"), "_open", "last", True)
     s = scan(s, (F.col("_s") == CLOSE_OUTPUT).cast("int"), "_ended", "max")
-    s = s.withColumn("_written", (F.coalesce("_open", F.lit(1)) * (1 - F.coalesce("_ended", F.lit(0)))))
+    ended = F.lit(1) if state.ended else F.coalesce("_ended", F.lit(0))
+    s = s.withColumn("_written", (F.coalesce("_open", F.lit(int(state.open))) * (1 - ended)))
     s = scan(s, F.col("_written"), "_some", "max")
-    starts = (F.col("_written") == 1) & (((F.col("_s") == FLUSH) & (F.coalesce("_some", F.lit(0)) == 1)) | ((F.col("_s") == OPEN_GATE) & (F.coalesce("_was", F.lit(1)) == 0)))
-    s = s.withColumn("_starts", starts.cast("long"))
+    some = F.lit(1) if state.some else F.coalesce("_some", F.lit(0))
+    starts = (F.col("_written") == 1) & (((F.col("_s") == FLUSH) & (some == 1)) | ((F.col("_s") == OPEN_GATE) & (F.coalesce("_was", F.lit(int(state.open))) == 0)))
+    s = s.withColumn("_some", some).withColumn("_starts", starts.cast("long"))
     s = scan(s, F.col("_starts"), "file_no", "sum", True)
-    s = scan(s, F.when(F.col("_starts") == 1, F.col("_arg")), "suffix_argument", "last", True)
-    return s.where("_written = 1").drop("_s", "_arg", "_was", "_open", "_ended", "_written", "_some", "_starts", *dropped)
+    # In a struct, so that a null argument is one.
+    s = scan(s, F.when(F.col("_starts") == 1, F.struct(F.col("_arg").alias("of"))), "suffix_argument", "last", True).withColumn("suffix_argument", F.col("suffix_argument.of"))
+    if state.file_no:
+        s = s.withColumn("file_no", F.col("file_no") + state.file_no)
+    if state.argument is not None:
+        # The file that went on from before keeps its argument; a later one has its own, null or not.
+        kept = F.lit(state.argument).cast(s.schema["suffix_argument"].dataType)
+        s = s.withColumn("suffix_argument", F.when(F.col("file_no") == state.file_no, kept).otherwise(F.col("suffix_argument")))
+    return s, dropped
