@@ -35,12 +35,12 @@ def read(spark: SparkSession, path: str) -> str:
         source.close()
 
 
-def write(spark: SparkSession, path: str, text: str) -> None:
+def write(spark: SparkSession, path: str, text: str | bytes) -> None:
     """A file in the place of one that may be there."""
     store, place = _of(spark, path)
     out = store.create(place, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text.encode() if isinstance(text, str) else text))
     finally:
         out.close()
 
@@ -78,14 +78,46 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
 
 
 def concat(spark: SparkSession, target: str, parts: list[str]) -> None:
-    """One file out of parts in order, by the file system's own concatenation: on HDFS blocks change owners, and nothing is copied."""
+    """One file out of parts in order, which are gone then, by the file system's own concatenation: on HDFS blocks change owners, and nothing
+    is copied. Stores that have none, as those of objects, get a copy through the driver, a buffer at a time."""
+    jvm = spark.sparkContext._jvm
     store, place = _of(spark, target)
     paths = [_of(spark, p)[1] for p in parts]
-    sources = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, len(paths))
-    for i, p in enumerate(paths):
-        sources[i] = p
     store.delete(place, True)
-    # The local file system keeps checksums of whole files; the raw one below it concatenates, without.
-    raw = store.getRawFileSystem() if store.getScheme() == "file" else store
-    raw.create(place, True).close()
-    raw.concat(place, sources)
+    local = store.getScheme() == "file"
+    if not local:
+        rename(spark, parts[0], target)
+    sources = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(paths) - (not local))
+    for i, p in enumerate(paths if local else paths[1:]):
+        sources[i] = p
+    if not len(sources):
+        return
+    if local:
+        # The local file system keeps checksums of whole files; the raw one below it concatenates, without, and keeps the parts.
+        store.getRawFileSystem().concat(place, sources)
+    elif store.hasPathCapability(place, "fs.capability.paths.concat"):
+        store.concat(place, sources)
+        return
+    else:
+        out = store.append(place) if store.hasPathCapability(place, "fs.capability.paths.append") else _again(store, place)
+        try:
+            for p in sources:
+                source = store.open(p)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+    for p in parts if local else parts[1:]:
+        delete(spark, p)
+
+
+def _again(store, place):
+    """A file to write to that begins with what is there; for stores that can't append, whose first part is a header."""
+    source = store.open(place)
+    head = source.readAllBytes()
+    source.close()
+    out = store.create(place, True)
+    out.write(head)
+    return out

@@ -1,27 +1,38 @@
-"""PCM and WAV: decoding, encoding, headers, reading and writing."""
+"""PCM and WAV: decoding, encoding, headers, reading and writing.
+
+A WAV file is read by ranges of bytes, as many tasks as its length asks for; planning reads headers alone. It is written by tasks as
+parts in order, which the file system joins; files beyond 4 GB have 64-bit sizes (RF64)."""
 
 from __future__ import annotations
 
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from streamloom.functions.samples import MAX
 from streamloom.plans.stream import Stream
-from streamloom.scratch import materialize
+from streamloom.scratch import discard, fresh_path, materialize
+from streamloom.sources import files
 
 #: Samples of one piece of PCM that a task encodes.
 BLOCK = 1 << 16
 #: Samples of one WAV part.
 PART = 1 << 22
 HEADER = 44
+#: Bytes of a header with 64-bit sizes.
+LONG_HEADER = 80
+#: Bytes of one task's range of a file.
+RANGE = 1 << 24
 
 
 def decode(data: bytes, bits: int) -> np.ndarray:
@@ -50,19 +61,34 @@ def encode(x: np.ndarray, bits: int) -> bytes:
 
 
 def wav_header(n_bytes: int, rate: float, bits: int, channels: int = 1) -> bytes:
-    """The 44 bytes before the data."""
+    """The bytes before the data: 44, or 80 with sizes of 64 bits for more than 32 can tell."""
     frame = bits // 8 * channels
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", (HEADER - 8 + n_bytes) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, channels, int(rate), int(rate) * frame, frame, bits, b"data", n_bytes & 0xFFFFFFFF)
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, channels, int(rate), int(rate) * frame, frame, bits)
+    if n_bytes <= 0xFFFFFFFF - (HEADER - 8):
+        return struct.pack("<4sI4s", b"RIFF", HEADER - 8 + n_bytes, b"WAVE") + form + struct.pack("<4sI", b"data", n_bytes)
+    sizes = struct.pack("<4sIQQQI", b"ds64", 28, LONG_HEADER - 8 + n_bytes, n_bytes, n_bytes // frame, 0)
+    return struct.pack("<4sI4s", b"RF64", 0xFFFFFFFF, b"WAVE") + sizes + form + struct.pack("<4sI", b"data", 0xFFFFFFFF)
 
 
 def read_header(data: bytes) -> tuple[int, int, int]:
-    """rate, bits and bytes of data; PCM of one channel, in the order RIFF, fmt, data."""
+    """rate, bits and bytes of data; PCM of one channel, in the order RIFF, fmt, data (or RF64, ds64, fmt, data)."""
+    return header_of(data)[:3]
+
+
+def header_of(data: bytes) -> tuple[int, int, int, int]:
+    """As read_header(), and where the data begins."""
+    start, total = HEADER, None
+    if data[:4] == b"RF64" and data[12:16] == b"ds64":
+        total, start = struct.unpack("<Q", data[28:36])[0], LONG_HEADER
+        data = b"RIFF" + data[4:12] + data[48:LONG_HEADER]
+    if len(data) < HEADER:
+        raise ValueError("not a PCM WAV file")
     riff, _, wave, fmt, length, form, channels, rate, _, _, bits, mark, n = struct.unpack("<4sI4s4sIHHIIHH4sI", data[:HEADER])
     if (riff, wave, fmt, mark) != (b"RIFF", b"WAVE", b"fmt ", b"data") or length != 16 or form != 1:
         raise ValueError("not a PCM WAV file")
     if channels != 1:
         raise ValueError("only one channel is supported")
-    return rate, bits, n
+    return rate, bits, n if total is None else total, start
 
 
 def pcm_input(spark: SparkSession, data: bytes, rate: float, bits: int) -> Stream:
@@ -70,29 +96,110 @@ def pcm_input(spark: SparkSession, data: bytes, rate: float, bits: int) -> Strea
     return Stream.from_indexed(spark.createDataFrame(pa.table({"idx": np.arange(len(data) // (bits // 8)), "value": decode(data, bits)})), rate)
 
 
-def wave(spark: SparkSession, path: str, resample: bool = True, taps: int = 64) -> Stream:
+@dataclass(frozen=True)
+class Piece(InputPartition):
+    """A range of a file's samples: where its bytes begin, how many samples, and the place of the first."""
+
+    path: str
+    name: str
+    offset: int
+    samples: int
+    bits: int
+    rate: int
+    start: int
+
+
+def pieces(path: str, range_bytes: int = RANGE, until: int | None = None) -> list[Piece]:
+    """The ranges of a WAV file, or of the files below a folder, whose parts in the order of their names are one stream for each folder
+    (its path below the first one is the name). Only headers are read. until: samples that are asked for."""
+    store, root = pafs.FileSystem.from_uri(path)
+    info = store.get_file_info(root)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    listed = [info] if info.type == pafs.FileType.File else [f for f in store.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_"))]
+
+    def head(f: pafs.FileInfo) -> tuple[int, int, int, int]:
+        with store.open_input_file(f.path) as source:
+            rate, bits, n, start = header_of(source.read(LONG_HEADER))
+        return rate, bits, min(n, f.size - start), start
+
+    listed.sort(key=lambda f: f.path)
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(head, listed))
+    out, places = [], {}
+    scheme = path[: len(path) - len(root)] if path.endswith(root) else ""
+    for f, (rate, bits, n, start) in zip(listed, heads, strict=True):
+        name = "" if info.type == pafs.FileType.File else f.path[len(root.rstrip("/")) + 1 :].rpartition("/")[0]
+        width = bits // 8
+        most = max(1, range_bytes // width)
+        for at in range(0, n // width, most):
+            place = places.get(name, 0)
+            if until is not None and place >= until:
+                break
+            count = min(most, n // width - at)
+            out.append(Piece(scheme + f.path, name, start + at * width, count, bits, rate, place))
+            places[name] = place + count
+    return out
+
+
+class WavSource(DataSource):
+    """name, idx and value of WAV files by ranges of bytes; options path, range_bytes, until (see pieces())."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "streamloom_wav"
+
+    def schema(self) -> str:
+        return "name string, idx bigint, value double"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _WavReader(self.options["path"], int(self.options.get("range_bytes", RANGE)), int(self.options["until"]) if "until" in self.options else None)
+
+
+class _WavReader(DataSourceReader):
+    def __init__(self, path: str, range_bytes: int, until: int | None):
+        self.asked = path, range_bytes, until
+
+    def partitions(self) -> list[InputPartition]:
+        return pieces(*self.asked) or [Piece("", "", 0, 0, 8, 0, 0)]
+
+    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        if not piece.samples:
+            return
+        store, name = pafs.FileSystem.from_uri(piece.path)
+        width = piece.bits // 8
+        with store.open_input_file(name) as source:
+            source.seek(piece.offset)
+            for at in range(0, piece.samples, BLOCK):
+                n = min(BLOCK, piece.samples - at)
+                data = source.read(n * width)
+                if len(data) != n * width:
+                    raise ValueError(f"{piece.path} ends early")
+                yield pa.RecordBatch.from_pydict({"name": [piece.name] * n, "idx": np.arange(piece.start + at, piece.start + at + n), "value": decode(data, piece.bits)})
+
+
+def wav_files(spark: SparkSession, path: str, range_bytes: int = RANGE, until: int | None = None) -> DataFrame:
+    """name, idx and value of a WAV file or of the streams below a folder."""
+    spark.dataSource.register(WavSource)
+    found = spark.read.format("streamloom_wav").option("path", files.qualified(spark, path)).option("range_bytes", str(range_bytes))
+    return (found if until is None else found.option("until", str(until))).load()
+
+
+def wave(spark: SparkSession, path: str, resample: bool = True, taps: int = 64, converter=None, range_bytes: int = RANGE) -> Stream:
     """A WAV file, or a folder of WAV parts in the order of their names, at its own rate; resampled to the rate it is read at unless
-    resample is False. Each part is read in a task and takes its place after the parts before it."""
-    files = spark.read.format("binaryFile").load(path)
-    rate, bits, _ = read_header(bytes(files.select(F.substring("content", 1, HEADER)).first()[0]))
-    # Lengths come from the listing of files, one row for each part, without their content.
-    lengths = sorted((r.path, r.length) for r in files.select("path", "length").collect())
-    starts = accumulate(((n - HEADER) // (bits // 8) for _, n in lengths), initial=0)
-    table = spark.createDataFrame([(p, s) for (p, _), s in zip(lengths, starts)], "path string, start long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content, start in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                raw = content.as_py()
-                _, width, n = read_header(raw)
-                x = decode(raw[HEADER : HEADER + min(n, len(raw) - HEADER)], width)
-                for at in range(0, len(x), BLOCK):
-                    part = x[at : at + BLOCK]
-                    yield pa.RecordBatch.from_pydict({"idx": np.arange(start + at, start + at + len(part)), "value": part})
+    resample is False. Each range of bytes is read in a task; one that is asked for its first samples reads those. converter: a function
+    that makes an endless stream of it, as lambda s: s.after_filling(0.0)."""
+    first = pieces(files.qualified(spark, path), until=1)
+    if not first:
+        raise ValueError(f"no samples in {path}")
+
+    def make(c) -> DataFrame:
+        df = wav_files(spark, path, range_bytes, c.bound).select("idx", "value")
+        return df if c.bound is None else df.where(F.col("idx") < c.bound)
 
-    placed = files.select("path", "content").join(F.broadcast(table), "path").select("content", "start")
-    found = Stream.from_indexed(placed.mapInArrow(run, "idx bigint, value double"), float(rate))
-    return found.resample(method="sinc", taps=taps) if resample else found
+    found = Stream(make, float(first[0].rate))
+    found = found.resample(method="sinc", taps=taps) if resample else found
+    return converter(found) if converter else found
 
 
 def write_wav_parts(df: DataFrame, path: str, rate: float, bits: int = 16, channels: int = 1, names: str | None = None, part_samples: int = PART) -> DataFrame:
@@ -118,35 +225,46 @@ def write_wav_parts(df: DataFrame, path: str, rate: float, bits: int = 16, chann
     return materialize(dealt.groupBy("name", "part").applyInArrow(write, "name string, part long, n_samples long, n_bytes long"), "wav-parts")
 
 
-def encoded(df: DataFrame, bits: int) -> DataFrame:
-    """block, data: PCM of BLOCK samples each."""
-    flat = df.groupBy(F.expr(f"idx div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("e")).select("block", F.transform("e", lambda x: x["value"]).alias("x"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(v.values.to_numpy(zero_copy_only=False), bits) for v in b.column(1)], pa.binary())], names=["block", "data"])
-
-    return flat.mapInArrow(run, "block bigint, data binary")
-
-
 def write_wav(stream: Stream, spark: SparkSession, path: str, rate: float = 44100.0, bits: int = 16, channels: int = 1) -> int:
-    """Write a finite stream as one file through Hadoop's file system; blocks are encoded in tasks and appended in order by
-    the driver, as one file has one writer: write_wav_parts() leaves that to tasks.
+    """Write a finite stream as one file. Tasks encode ranges of it into parts; sizes come from their counts, and the file system joins header
+    and parts (see files.concat()) under another name, which is moved to the path when all is well and removed when not.
     Vectors are written element by element. Returns the bytes of data."""
     stream.check_rate(rate)
     source = stream.flatten() if stream.kind == "vector" else stream
-    df = encoded(source.build(spark, rate), bits).persist()
-    try:
-        total = df.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
-        try:
-            out.write(bytearray(wav_header(total, rate, bits, channels)))
-            for row in df.orderBy("block").toLocalIterator():
-                out.write(row["data"])
-        finally:
+    folder = fresh_path(spark, "wav-parts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        # No other attempt of this task has this name; those that the job does not return are left behind.
+        name, first, n, dense, out = uuid.uuid4().hex, None, 0, True, None
+        for b in batches:
+            if b.num_rows:
+                if out is None:
+                    store.create_dir(root, recursive=True)
+                    out, first = store.open_output_stream(f"{root}/{name}.pcm"), b.column("idx")[0].as_py()
+                out.write(encode(b.column("value").to_numpy(zero_copy_only=False), bits))
+                dense &= bool((b.column("idx").to_numpy() == np.arange(first + n, first + n + b.num_rows)).all())
+                n += b.num_rows
+        if out is not None:
             out.close()
+            yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "dense": [dense], "name": [name]})
+
+    ordered = source.build(spark, rate).select("idx", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).repartitionByRange("idx").sortWithinPartitions("idx")
+    listed = materialize(ordered.mapInArrow(write, "first long, n long, dense boolean, name string"), "wav-list")
+    parts = sorted(listed.collect(), key=lambda r: r["first"])
+    discard(listed)
+    total = 0
+    for p in parts:
+        if p["first"] != total or not p["dense"]:
+            files.delete(spark, folder)
+            raise ValueError(f"positions are not dense near {p['first']}, after {total} elements")
+        total += p["n"]
+    n_bytes = total * (bits // 8)
+    try:
+        draft, header = f"{folder}/whole.wav", f"{folder}/header"
+        files.write(spark, header, wav_header(n_bytes, rate, bits, channels))
+        files.concat(spark, draft, [header, *(f"{folder}/{p['name']}.pcm" for p in parts)])
+        files.rename(spark, draft, path)
     finally:
-        df.unpersist()
-    return total
+        files.delete(spark, folder)
+    return n_bytes
