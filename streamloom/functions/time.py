@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from functools import total_ordering
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Nanoseconds of each unit.
 UNITS = {"ns": 1, "us": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000, "d": 86_400_000_000_000}
@@ -74,3 +76,26 @@ def index_floor(ns: int, rate: float) -> int:
 
 def index_ceil(ns: int, rate: float) -> int:
     return math.ceil(ns / 1e9 * rate_of(rate))
+
+
+def time_of(n: Column, rate: float, unit: str = "ms") -> Column:
+    """samples_to_time() of a column."""
+    return (n / (F.lit(rate_of(rate)) / F.lit(1e9 / UNITS[unit]))).cast("long")
+
+
+def floor_of(ns: Column, rate: float) -> Column:
+    """index_floor() of a column."""
+    return F.floor(ns / F.lit(1e9) * F.lit(rate_of(rate))).cast("long")
+
+
+def ceil_of(ns: Column, rate: float) -> Column:
+    """index_ceil() of a column."""
+    return F.ceil(ns / F.lit(1e9) * F.lit(rate_of(rate))).cast("long")
+
+
+def parse_ns(text: Column) -> Column:
+    """Nanoseconds of lengths of time as TimeMeasure.parse_or_none() takes them; null for others."""
+    shape = r"^\s*(-?[0-9]+)(?:\.[0-9]+)?\s*(ns|us|ms|s|m|h|d)\s*$"
+    low = F.lower(text)
+    factors = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    return F.when(low.rlike(shape), F.regexp_extract(low, shape, 1).cast("long") * F.element_at(factors, F.nullif(F.regexp_extract(low, shape, 2), F.lit(""))))

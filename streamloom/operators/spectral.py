@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 SPECTRUM = "struct<index: bigint, binCount: int, samplesCount: int, samplesLength: int, sampleRate: float, fft: array<struct<re: double, im: double>>>"
 _COMPLEX = pa.struct([("re", pa.float64()), ("im", pa.float64())])
@@ -77,6 +78,30 @@ def inverse_fft(df: DataFrame, sign: str = "reference") -> DataFrame:
     return flat.select("idx", F.struct("size", "step", "elements").alias("value"))
 
 
+def dft(df: DataFrame, inverse: bool = False) -> DataFrame:
+    """Transforms of any length, with the textbook's sign: of windows, vectors or arrays of struct(re, im) to arrays of struct(re, im).
+    Prime lengths take n log n steps as others do (chirp-z); arrays of a batch with the same length are transformed together."""
+    kind = df.schema["value"].dataType
+    v = F.col("value.elements") if isinstance(kind, StructType) else F.col("value")
+    real = not isinstance(kind, ArrayType) or not isinstance(kind.elementType, StructType)
+    z = F.transform(v, lambda x: F.struct(x.cast("double").alias("re"), F.lit(0.0).alias("im"))) if real else v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("value")
+            flat = lists.flatten()
+            c = flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()
+            n = np.array([len(x) if x is not None else 0 for x in (e.values for e in lists)], np.int64)
+            starts, out = np.cumsum(n) - n, np.empty(len(c), np.complex128)
+            for size in np.unique(n[n > 0]):
+                at = starts[n == size][:, None] + np.arange(size)
+                out[at] = np.fft.ifft(c[at], axis=1) if inverse else np.fft.fft(c[at], axis=1)
+            parts = pa.StructArray.from_arrays([pa.array(out.real), pa.array(out.imag)], fields=list(_COMPLEX))
+            yield pa.RecordBatch.from_arrays([b.column("idx"), pa.ListArray.from_arrays(pa.array(np.append(starts, len(c)), pa.int32()), parts)], names=["idx", "value"])
+
+    return df.select("idx", z.alias("value")).mapInArrow(run, "idx bigint, value array<struct<re: double, im: double>>")
+
+
 def magnitude(value: Column) -> Column:
     """20 log10 |c| of the first half of the bins; -inf for 0."""
     n = F.floor(value["binCount"] / 2).cast("int")

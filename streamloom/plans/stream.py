@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from streamloom.functions import samples, tapers
 from streamloom.functions.time import UNITS, TimeMeasure, index_ceil, index_floor, rate_of
-from streamloom.operators import indexing, resample, spectral, windows
+from streamloom.operators import indexing, resample, sequences, spectral, windows
 
 
 @dataclass(frozen=True)
@@ -73,15 +73,17 @@ class Stream:
 
     @staticmethod
     def generate(fn: Callable[[Column, float], Column], rate: float | None = None, ends_at_null: bool = False) -> Stream:
-        """fn(position, rate) from 0 on, without end, or up to the first null."""
+        """fn(position, rate) from 0 on, without end, or up to the first null, which is looked for in stretches of growing length."""
 
         def make(c: Context) -> DataFrame:
+            made = lambda lo, hi: c.spark.range(lo, hi).select(F.col("id").alias("idx"), fn(F.col("id"), rate_of(c.rate)).alias("value"))
+            if ends_at_null:
+                return made(0, first_null(made, c.bound))
             if c.bound is None:
                 raise ValueError("an endless stream: trim it")
-            df = c.spark.range(c.bound).select(F.col("id").alias("idx"), fn(F.col("id"), rate_of(c.rate)).alias("value"))
-            return cut_at_null(df) if ends_at_null else df
+            return made(0, c.bound)
 
-        return Stream(make, rate, finite=False)
+        return Stream(make, rate, finite=ends_at_null)
 
     @staticmethod
     def sine(hz: float, amplitude: float = 1.0, time_offset: float = 0.0, time: float | None = None) -> Stream:
@@ -145,6 +147,33 @@ class Stream:
         """fn over each value."""
         return self._unary(lambda d, c: d.withColumn("value", fn(F.col("value"))), need=lambda n: n, kind=kind or self.kind)
 
+    def map_batches(self, fn: Callable[[Any], Any], kind: str = "double", of: str | None = None) -> Stream:
+        """A function in Python: from Arrow arrays of values to arrays of as many values of a type, as "double"."""
+        return self._unary(lambda d, c: sequences.map_values(d, fn, kind), need=lambda n: n, kind=of or self.kind)
+
+    def flat_map_batches(self, fn: Callable[[Any], Any], kind: str = "double", of: str = "sample") -> Stream:
+        """A function in Python: from Arrow arrays of values to a list for each; their elements, of a type, at dense positions."""
+
+        def make(d: DataFrame, c: Context) -> DataFrame:
+            out = sequences.flat_values(d, fn, kind)
+            return out if c.bound is None else out.where(F.col("idx") < c.bound)
+
+        return self._unary(make, measure=1, kind=of, grid=None)
+
+    def sequence(self, fn: Callable[[Any, slice, int], Any], before: int = 0, after: int = 0, rate: float | None = None, block: int = sequences.BLOCK) -> Stream:
+        """A function in Python over stretches of samples, which sees so many samples before and after (see sequences.reaching()). rate: that of
+        its outputs, if another."""
+
+        def make(d: DataFrame, c: Context) -> DataFrame:
+            out = sequences.reaching(d, fn, before, after, block)
+            return out if c.bound is None else out.where(F.col("idx") < c.bound)
+
+        return self._unary(make, rate=rate or self.rate)
+
+    def scan(self, fn: Callable[[Any, Any], Any], state: Any, summary: Callable[[Any], Any], follow: Callable[[Any, Any], Any], block: int = sequences.BLOCK) -> Stream:
+        """A function in Python with memory, over the samples from the first on (see sequences.scan())."""
+        return self._unary(lambda d, c: sequences.scan(d, fn, state, summary, follow, block), need=lambda n: n)
+
     def _scalar(self, k: float, op: str) -> Stream:
         if self.kind == "window":
             return self._unary(lambda d, c: windows.map_elements(d, lambda x: {"+": x + k, "-": x - k, "*": x * k, "/": samples.divide(x, F.lit(float(k)))}[op]), need=lambda n: n)
@@ -309,6 +338,29 @@ class Stream:
     def inverse_fft(self, sign: str = "reference") -> Stream:
         return self._unary(lambda d, c: spectral.inverse_fft(d, sign), need=lambda n: n, kind="window")
 
+    def dft(self, inverse: bool = False) -> Stream:
+        """Transforms of windows at their own length, whatever it is, as arrays of struct(re, im); inverse: of such arrays."""
+        return self._unary(lambda d, c: spectral.dft(d, inverse), need=lambda n: n, kind="complex")
+
+
+#: Positions that a generator is looked over for its end, at first and at most.
+PROBE, MOST = 1 << 16, 1 << 40
+
+
+def first_null(made: Callable[[int, int], DataFrame], bound: int | None) -> int:
+    """The position of the first null of made(from, to), or the bound: stretches are twice as long as all before them, so that the work is
+    at most three times that of the stream."""
+    low, high = 0, PROBE
+    while bound is None or low < bound:
+        if low >= MOST:
+            raise ValueError(f"no end within {MOST} elements: trim the stream")
+        high = high if bound is None else min(high, bound)
+        found = made(low, high).where(F.col("value").isNull()).agg(F.min("idx")).first()[0]
+        if found is not None:
+            return found
+        low, high = high, 3 * high
+    return bound
+
 
 def cut_at_null(df: DataFrame) -> DataFrame:
     """What comes before the first null value."""

@@ -96,6 +96,12 @@ def pcm_input(spark: SparkSession, data: bytes, rate: float, bits: int) -> Strea
     return Stream.from_indexed(spark.createDataFrame(pa.table({"idx": np.arange(len(data) // (bits // 8)), "value": decode(data, bits)})), rate)
 
 
+def pcm_blocks(df: DataFrame, order_by: list[str], column: str, rate: float, bits: int) -> Stream:
+    """A table of blocks of PCM bytes, in an order, as a stream: decoded in tasks. Blocks hold whole samples; a null one is empty."""
+    made = Stream.from_df(df, order_by, F.coalesce(F.col(column).cast("binary"), F.lit("").cast("binary")), rate)
+    return made.flat_map_batches(lambda blocks: [decode(x, bits) for x in blocks.to_pylist()])
+
+
 @dataclass(frozen=True)
 class Piece(InputPartition):
     """A range of a file's samples: where its bytes begin, how many samples, and the place of the first."""
