@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.operators import indexing
+
 
 def bucket(timestamp: Column, granularity: int) -> Column:
     return F.floor(timestamp / F.lit(granularity)).cast("long")
 
 
+def accepted(df: DataFrame, timestamp: Column, arrival: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Values that a roll-up takes, in the order in which they arrive, and those that are too late: their time is before that of one
+    that came earlier. A null time is too late. The newest time so far is carried range by range."""
+    rows, part, place = indexing.ranged(df.withColumn("_at", timestamp), arrival)
+    seen = indexing.carry(rows, part, place, F.col("_at"), "_newest", "max").drop(part, place)
+    late = F.col("_at").isNull() | F.coalesce(F.col("_at") < F.col("_newest"), F.lit(False))
+    return seen.where(~late).drop("_at", "_newest"), seen.where(late).drop("_at", "_newest")
+
+
 def counter_rollup(df: DataFrame, timestamp: Column, value: Column, granularity: int, *tags: str) -> DataFrame:
     """The sum of each bucket."""
     return df.groupBy(*tags, bucket(timestamp, granularity).alias("bucket")).agg(F.sum(value).alias("value"))

@@ -3,12 +3,14 @@ struct(size, step, elements), the last ones may be partial."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.operators import indexing
+from streamloom.operators import indexing, sequences
 
 
 def window_ids(idx: Column, size: int, step: int) -> Column:
@@ -38,6 +40,38 @@ def window_agg(df: DataFrame, size: int, step: int, **aggregates: Column) -> Dat
     return members(df, size, step).groupBy(F.col("wid").alias("idx")).agg(*(a.alias(k) for k, a in aggregates.items()))
 
 
+#: What a window is folded by: the aggregate of a pane, what panes are put together with, and a pane without values.
+FOLDS = {"sum": (F.sum, np.add, 0.0), "count": (F.count, np.add, 0.0), "min": (F.min, np.fmin, np.nan), "max": (F.max, np.fmax, np.nan)}
+
+
+def fold(df: DataFrame, size: int, step: int, how: str, block: int = sequences.BLOCK) -> DataFrame:
+    """idx and value (a double): "sum", "count", "min" or "max" over every window that starts within the stream; nulls are skipped, and extremes
+    of none are null.
+
+    Elements are folded into panes of gcd(size, step), which is a partial aggregate. Windows are whole panes; with panes in stretches of a
+    window's length, each window is the end of one stretch and the beginning of the next: two scans, however small the step is."""
+    aggregate, join, none = FOLDS[how]
+    pane = math.gcd(size, step)
+    wide, stride = size // pane, step // pane
+    panes = df.groupBy(F.expr(f"idx div {pane}").alias("idx")).agg(aggregate("value").cast("double").alias("value"))
+
+    def run(x: np.ndarray, here: slice, start: int) -> np.ndarray:
+        n = -(-(len(x) + wide) // wide) * wide
+        filled = np.full(n + wide, none)
+        filled[: len(x)] = np.where(np.isnan(x), none, x)
+        rows = filled.reshape(-1, wide)
+        prefix = join.accumulate(rows, axis=1).ravel()
+        suffix = join.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        at = np.arange(here.start, here.stop)
+        found = join(suffix[at], prefix[at + wide - 1]) if wide > 1 else filled[at]
+        # A window that is a stretch of its own is counted once.
+        found = np.where(at % wide == 0, suffix[at], found)
+        return found[(start + at - here.start) % stride == 0]
+
+    out = sequences.reaching(panes, run, after=wide - 1, block=max(1, block // stride) * stride)
+    return out.select("idx", F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
 def map_elements(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
     """fn over every element of every window; partial windows stay partial."""
     v = F.col("value")

@@ -293,6 +293,11 @@ class Stream:
 
         return self._unary(make, need=lambda n: (n - 1) * step + size, measure=step * self.measure, kind="struct", grid=(size, step))
 
+    def window_fold(self, size: int, step: int | None = None, how: str = "sum") -> Stream:
+        """A "sum", "count", "min" or "max" of each window, at a cost that does not grow with size / step."""
+        step = size if step is None else step
+        return self._unary(lambda d, c: windows.fold(d, size, step, how), need=lambda n: (n - 1) * step + size, measure=step * self.measure, kind="sample", grid=None)
+
     def flatten(self, resolve: Callable[[Column, Column], Column] | None = None, zero: float = 0.0) -> Stream:
         """Windows, vectors or lists as single elements. Windows overlap by addition or by resolve(following, current)."""
         if self.kind == "window":
