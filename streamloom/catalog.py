@@ -6,6 +6,10 @@ The signal is `events` ordered by (ts, event_id); sizes follow the table, none i
 from __future__ import annotations
 
 import inspect
+import math
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +17,12 @@ from pyspark.sql import functions as F
 from streamloom import scratch
 from streamloom.functions import complex as cx
 from streamloom.functions import metrics, samples
-from streamloom.functions.time import TimeMeasure, index_ceil, index_floor, samples_to_time
+from streamloom.functions.time import TimeMeasure, ceil_of, floor_of, parse_ns, time_of
 from streamloom.operators import spectral, windows
 from streamloom.plans.stream import Stream
 from streamloom.sources import pcm, sinks, tables
-from streamloom.streaming import managed
+from streamloom.streaming import live, managed
+from streamloom.streaming.observed import Collector, Metric
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -223,12 +228,16 @@ def resample_down_sum(spark, sf_dir):
     return _out(s.resample(250.0, F.sum, "simple"), spark)
 
 
-@query(f"""WITH {_S}, n AS (SELECT count(*) AS n FROM s),
+#: The signal at 1600 Hz instead of 1000, by 32 taps.
+_SINC = """n AS (SELECT count(*) AS n FROM s),
 k AS (SELECT range AS k FROM range(0, (SELECT 2 * n + 64 FROM n))),
 o AS (SELECT k, CAST(trunc(trunc(k / 1600.0::DOUBLE * 1000.0::DOUBLE) / 1000.0::DOUBLE * 1000.0::DOUBLE) AS BIGINT) AS s, k / 1600.0::DOUBLE * 1000.0::DOUBLE AS x FROM k),
 e AS (SELECT min(k) AS total FROM (SELECT k, s, lag(s) OVER (ORDER BY k) AS q FROM o) WHERE s > q AND q + 32 >= (SELECT n FROM n)),
 t AS (SELECT o.k, o.s + r.range AS j, r.range - 16 - (o.x - o.s) AS z FROM o, range(0, 32) r WHERE o.k < (SELECT total FROM e))
-SELECT t.k AS idx, round(sum(coalesce(s.v, 0) * CASE WHEN z = 0 THEN 1 ELSE sin(pi() * z) / (pi() * z) END), 6) AS value FROM t LEFT JOIN s ON s.idx = t.j GROUP BY t.k""")
+SELECT t.k AS idx, round(sum(coalesce(s.v, 0) * CASE WHEN z = 0 THEN 1 ELSE sin(pi() * z) / (pi() * z) END), 6) AS value FROM t LEFT JOIN s ON s.idx = t.j GROUP BY t.k"""
+
+
+@query(f"WITH {_S}, {_SINC}")
 def resample_sinc(spark, sf_dir):
     s = signal(spark, sf_dir)
     s.rate = 1000.0
@@ -251,10 +260,10 @@ def fft_magnitude(spark, sf_dir):
     return df.select("idx", F.col("i").cast("long").alias("i"), F.round("x", 4).alias("value"))
 
 
-@query(f"{_FFT} SELECT wid AS idx, i, round(cos(atan2(im, re)), 4) AS c, round(sin(atan2(im, re)), 4) AS s FROM f WHERE i BETWEEN 1 AND 7")
+@query(f"{_FFT} SELECT wid AS idx, i, round(cos(atan2(im, re)), 4) + 0.0 AS c, round(sin(atan2(im, re)), 4) + 0.0 AS s FROM f WHERE i < 8")
 def fft_phase(spark, sf_dir):
-    df = _spectra(spark, sf_dir).select("idx", F.posexplode(spectral.phase(F.col("value"))).alias("i", "x")).where("i > 0")
-    return df.select("idx", F.col("i").cast("long").alias("i"), F.round(F.cos("x"), 4).alias("c"), F.round(F.sin("x"), 4).alias("s"))
+    df = _spectra(spark, sf_dir).select("idx", F.posexplode(spectral.phase(F.col("value"))).alias("i", "x"))
+    return df.select("idx", F.col("i").cast("long").alias("i"), (F.round(F.cos("x"), 4) + 0.0).alias("c"), (F.round(F.sin("x"), 4) + 0.0).alias("s"))
 
 
 @query(f"WITH {_S}, {_windows(11, 8)} SELECT wid AS idx, i, round(v, 6) AS value FROM w")
@@ -368,20 +377,27 @@ def csv_sample_lines(spark, sf_dir):
     return sinks.sample_lines(signal(spark, sf_dir).build(spark, RATE), RATE)
 
 
-@query("SELECT range AS idx, round(0.5 * cos(2 * pi() * 440 * (0.25 + range / 1000.0::DOUBLE)), 6) AS value FROM range(0, 3000)")
+def _carried(spark, sf_dir, carrier: Stream) -> DataFrame:
+    """The signal times a carrier, as long as the signal: at 1000 Hz an element a millisecond."""
+    return _out((signal(spark, sf_dir) * carrier).trim(_events(spark, sf_dir).count()), spark)
+
+
+@query(f"WITH {_S} SELECT idx, round(v * 0.5 * cos(2 * pi() * 440 * (0.25 + idx / 1000.0::DOUBLE)), 6) AS value FROM s")
 def sine(spark, sf_dir):
-    return _out(Stream.sine(440.0, 0.5, 0.25).trim(3, "s"), spark)
+    return _carried(spark, sf_dir, Stream.sine(440.0, 0.5, 0.25))
 
 
-@query("SELECT range AS idx, round(0.5 * cos(2 * pi() * (range / 1000.0::DOUBLE) * (64 + 0.1 * floor(least(range, 1999) / 21))), 6) AS value FROM range(0, 3000)")
+@query(f"WITH {_S} SELECT idx, round(v * 0.5 * cos(2 * pi() * (idx / 1000.0::DOUBLE) * (64 + 0.1 * floor(least(idx, 1999) / 21))), 6) AS value FROM s")
 def sine_sweep(spark, sf_dir):
-    return _out(Stream.sine_sweep(64.0, 1024.0, 0.5, 2.0).trim(3, "s"), spark)
+    return _carried(spark, sf_dir, Stream.sine_sweep(64.0, 1024.0, 0.5, 2.0))
 
 
-@query("SELECT range AS idx, round(sqrt(range) / 1000, 6) AS value FROM range(0, 2000)")
+@query(f"WITH {_S}, {_P}, n AS (SELECT count(*) AS n FROM p) SELECT idx, round(v + CASE WHEN idx < n THEN sqrt(idx) / 1000 ELSE 0 END, 6) AS value FROM s, n")
 def function_input(spark, sf_dir):
-    fn = lambda i, rate: F.when(i < 2000, F.sqrt(i.cast("double")) / rate)
-    return _out(Stream.generate(fn, ends_at_null=True).trim(5, "s"), spark)
+    # It ends by itself, after as many elements as there are purchases; nothing trims it.
+    n = _events(spark, sf_dir).where("event_type = 'purchase'").count()
+    made = Stream.generate(lambda i, rate: F.when(i < n, F.sqrt(i.cast("double")) / rate), ends_at_null=True)
+    return _out(signal(spark, sf_dir) + made, spark)
 
 
 @query(f"WITH {_S} SELECT idx, round(round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767, 9) AS value FROM s")
@@ -391,12 +407,21 @@ def wav_write_read(spark, sf_dir):
     return _out(pcm.wave(spark, path, resample=False), spark, 9)
 
 
+@query(f"WITH {_S.replace('s AS', 'r AS')}, s AS (SELECT idx, round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767 AS v FROM r), {_SINC}")
+def wav_resampled(spark, sf_dir):
+    path = scratch.fresh_path(spark, "wav") + "/one.wav"
+    pcm.write_wav(signal(spark, sf_dir) * 0.004 - 1.0, spark, path, RATE)
+    df = pcm.wave(spark, path, taps=32, range_bytes=1 << 12).build(spark, 1600.0)
+    return df.select("idx", F.round("value", 6).alias("value"))
+
+
 # -- sources ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT range AS idx, round(range / 500.0::DOUBLE, 6) AS value FROM range(0, 1000)")
+@query(f"WITH {_S} SELECT idx, round(v * idx / 500.0::DOUBLE, 6) AS value FROM s")
 def function_input_with_rate(spark, sf_dir):
-    return _out(Stream.generate(lambda i, rate: i / F.lit(rate), rate=500.0).trim(2, "s"), spark)
+    made = Stream.generate(lambda i, rate: i / F.lit(rate), rate=500.0)
+    return _out((signal(spark, sf_dir) * made).trim(2 * _events(spark, sf_dir).count()), spark)
 
 
 @query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS idx, r_regionkey * 1.5 AS value FROM region")
@@ -406,10 +431,19 @@ def list_input(spark, sf_dir):
     return _out(Stream.from_list(spark, [k * 1.5 for k in keys]), spark)
 
 
-@query("SELECT range AS idx, round((((range * 37) % 256) - CASE WHEN (range * 37) % 256 > 127 THEN 256 ELSE 0 END) / 127.0::DOUBLE, 9) AS value FROM range(0, 1024)")
+@query("""WITH c AS (SELECT c_custkey, c_name, unnest(range(1, length(c_name) + 1)) AS i FROM customer), b AS (SELECT row_number() OVER (ORDER BY c_custkey, i) - 1 AS idx, xor(ascii(c_name[i]), 128) AS x FROM c)
+SELECT idx, round((x - CASE WHEN x > 127 THEN 256 ELSE 0 END) / 127.0::DOUBLE, 9) AS value FROM b""")
 def pcm_bytes_input(spark, sf_dir):
-    data = bytes((((k * 37) % 256) ^ 0x80) for k in range(1024))
-    return _out(pcm.pcm_input(spark, data, RATE, 8), spark, 9)
+    # Blocks of bytes: the names of customers, whose letters are all of one byte.
+    blocks = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.encode("c_name", "UTF-8").alias("b"))
+    return _out(pcm.pcm_blocks(blocks, ["c_custkey"], "b", RATE, 8), spark, 9)
+
+
+@query(f"WITH {_S} SELECT idx, round(round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767, 9) AS value FROM s")
+def wav_one_file(spark, sf_dir):
+    path = scratch.fresh_path(spark, "wav") + "/one.wav"
+    pcm.write_wav(signal(spark, sf_dir) * 0.004 - 1.0, spark, path, RATE)
+    return pcm.wav_files(spark, path, range_bytes=1 << 12).select("idx", F.round("value", 9).alias("value"))
 
 
 # -- operators -------------------------------------------------------------------------------------------------------
@@ -441,10 +475,11 @@ def vector_window(spark, sf_dir):
     return df.select("idx", "value.size", "value.step", F.round(F.aggregate("value.elements", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("SELECT range AS idx, len(l) AS size, round(list_sum(l), 6) AS total FROM (SELECT range, list_concat([range * 0.5, 2.0], [range, range + 1.0, range + 2.0]) AS l FROM range(0, 500))")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, CAST(len(l) AS BIGINT) AS size, round(list_sum(l), 6) AS total FROM (SELECT c_custkey, list_concat([c_acctbal * 0.5, 2.0::DOUBLE], [c_custkey::DOUBLE, c_custkey + 1.0::DOUBLE, c_custkey + 2.0::DOUBLE]) AS l FROM customer)")
 def vector_constructors(spark, sf_dir):
-    df = spark.range(500).withColumn("l", F.concat(samples.vector_of(F.col("id") * 0.5, 2.0), samples.vector_from(3, lambda i: F.col("id") + i)))
-    return df.select(F.col("id").alias("idx"), F.size("l").cast("long").alias("size"), F.round(F.aggregate("l", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    both = F.concat(samples.vector_of(F.col("c_acctbal") * 0.5, 2.0), samples.vector_from(3, lambda i: (F.col("c_custkey") + i).cast("double")))
+    df = Stream.from_df(spark.read.parquet(f"{sf_dir}/customer.parquet"), ["c_custkey"], both).build(spark, RATE)
+    return df.select("idx", F.size("value").cast("long").alias("size"), F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(source, ''), 'e'), lambda x: x <> '') AS l FROM documents)
@@ -547,13 +582,33 @@ def csv_write_read(spark, sf_dir):
     return spark.read.text(path).toDF("line")
 
 
-@query(f"""{_FFT}, t AS (SELECT wid, CAST(trunc(wid * 8 / (1000.0::DOUBLE / 1e9)) AS BIGINT) // 1000000 AS ms FROM (SELECT DISTINCT wid FROM w))
-SELECT CAST(ms AS VARCHAR) AS ms, 8 AS n_values FROM t UNION ALL SELECT 'time ms \\ freq hz', 8""")
+def _spectrum_csv(value: str, digits: int) -> str:
+    """Cells of a file of spectra: of the header and of each time."""
+    return f"""{_FFT}, t AS (SELECT wid, CAST(trunc(wid * 8 / (1000.0::DOUBLE / 1e9)) AS BIGINT) // 1000000 AS ms FROM (SELECT DISTINCT wid FROM w))
+SELECT CAST(ms AS VARCHAR) AS ms, i, round({value}, {digits}) + 0.0 AS value FROM f JOIN t USING (wid) WHERE i < 8
+UNION ALL SELECT 'time ms \\ freq hz', range, range * 1000.0::DOUBLE / 16 FROM range(0, 8)"""
+
+
+def _cells(spark: SparkSession, path: str, of) -> DataFrame:
+    cells = F.split("value", ",")
+    rows = spark.read.text(path).select(cells[0].alias("ms"), F.posexplode(F.slice(cells, F.lit(2), F.size(cells) - 1)).alias("i", "x"))
+    x = F.col("x").cast("double")
+    return rows.select("ms", F.col("i").cast("long").alias("i"), F.when(F.col("ms").startswith("time"), x).otherwise(of(x)).alias("value"))
+
+
+@query(_spectrum_csv("10 * log10(re * re + im * im)", 4))
 def csv_magnitudes(spark, sf_dir):
     path = scratch.fresh_path(spark, "csv")
     sinks.magnitude_to_csv(signal(spark, sf_dir).window(11, 8).fft(16), spark, path, RATE)
-    cells = F.split("value", ",")
-    return spark.read.text(path).select(cells[0].alias("ms"), (F.size(cells) - 1).alias("n_values"))
+    return _cells(spark, path, lambda x: F.round(x, 4))
+
+
+@query(_spectrum_csv("cos(atan2(im, re)) + 2 * sin(atan2(im, re))", 4))
+def csv_phases(spark, sf_dir):
+    # Angles of pi and -pi are the same, so what is compared goes round with them.
+    path = scratch.fresh_path(spark, "csv")
+    sinks.phase_to_csv(signal(spark, sf_dir).window(11, 8).fft(16), spark, path, RATE)
+    return _cells(spark, path, lambda x: F.round(F.cos(x) + 2 * F.sin(x), 4) + 0.0)
 
 
 _FILES = """f AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS v, CAST(sum(CASE WHEN event_type = 'signup' AND rn > 1 THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id) AS BIGINT) AS no
@@ -577,19 +632,157 @@ def managed_flush_whole_stream(spark, sf_dir):
 _CHUNKED = f"WITH {_S}, f AS (SELECT idx // 512 AS no, idx, v FROM s)"
 
 
-@query(f"{_CHUNKED} SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN '-' || CAST(no * 512 AS VARCHAR) ELSE '' END AS name, count(*) AS n_lines FROM f GROUP BY no")
+@query(f"""{_CHUNKED}, n AS (SELECT DISTINCT no FROM f), c AS (SELECT no, round(v, 6) AS value FROM f UNION ALL SELECT no, NULL FROM n)
+SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN '-' || CAST(no * 512 AS VARCHAR) ELSE '' END AS name, value FROM c""")
 def managed_csv_files(spark, sf_dir):
-    df = signal(spark, sf_dir).build(spark, RATE)
+    # Every line of every file; the header, which is no number, is null.
+    df, path = signal(spark, sf_dir).build(spark, RATE), scratch.fresh_path(spark, "managed")
     flush = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
     suffix = F.concat(F.lit("-"), F.col("suffix_argument").cast("string"))
-    return sinks.managed_csv(df, flush, F.col("idx"), scratch.fresh_path(spark, "managed"), "value", lambda v: v.cast("string"), suffix).select("name", "n_lines")
+    sinks.managed_csv(df, flush, F.col("idx"), path, "value", lambda v: v.cast("string"), suffix)
+    return spark.read.schema("value string, name string").text(path).select("name", F.round(F.expr("try_cast(value AS double)"), 6).alias("value"))
 
 
-@query(f"{_CHUNKED} SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN CAST(no * 512 AS VARCHAR) ELSE '' END || '.wav' AS name, count(*) AS n_samples, count(*) * 2 AS n_bytes FROM f GROUP BY no")
+@query(f"""{_CHUNKED} SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN CAST(no * 512 AS VARCHAR) ELSE '' END || '.wav' AS name, idx - no * 512 AS idx,
+round(round_even((v * 0.004::DOUBLE - 1) * 32767, 0) / 32767, 9) AS value FROM f""")
 def managed_wav_files(spark, sf_dir):
-    df = (signal(spark, sf_dir) * 0.004 - 1.0).build(spark, RATE)
+    df, path = (signal(spark, sf_dir) * 0.004 - 1.0).build(spark, RATE), scratch.fresh_path(spark, "managed")
     flush = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
-    return sinks.managed_wav(df, flush, F.col("idx"), scratch.fresh_path(spark, "managed"), RATE).select("name", "n_samples", "n_bytes")
+    sinks.managed_wav(df, flush, F.col("idx"), path, RATE)
+    return pcm.wav_files(spark, path).select("name", "idx", F.round("value", 9).alias("value"))
+
+
+# -- running streams -------------------------------------------------------------------------------------------------
+
+
+def _followed(spark, sf_dir, value, start) -> None:
+    """The events, appended to a table in three commits while a query of start(stream) follows it, to its end."""
+    rows = _table_of(spark, sf_dir, value)
+    table = tables.TimeTable(spark, "events", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(36_500, "d"))
+    low, high = rows.agg(F.min("marker_ns"), F.max("marker_ns")).first()
+    query, cuts = None, [low, low + (high - low) // 3, low + (high - low) // 3 * 2, high + 1]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        table.append(rows.where((F.col("marker_ns") >= lo) & (F.col("marker_ns") < hi)))
+        query = query or start(table.follow(TimeMeasure(36_500, "d")))
+        query.processAllAvailable()
+    table.finish()
+    table.until_finished(query)
+
+
+def _table_of(spark, sf_dir, value) -> DataFrame:
+    df = _events(spark, sf_dir)
+    start = df.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).scalar()
+    return df.select(((F.unix_micros(F.col("ts").cast("timestamp")) - start) * 1000).alias("marker_ns"), value.alias("value"))
+
+
+_WHOLE = F.struct("event_id", "user_id", "event_type", "value")
+
+
+@query(f"WITH {_T} SELECT * FROM t")
+def table_followed(spark, sf_dir):
+    # Written by micro-batches into a second table, each of them once.
+    copy, checkpoint = tables.TimeTable(spark, "copy", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(36_500, "d")), scratch.fresh_path(spark, "checkpoint")
+    _followed(spark, sf_dir, F.col("value"), lambda s: copy.write_stream(s, checkpoint, processingTime="0 seconds"))
+    copy.finish()
+    return copy.rows()
+
+
+@query(_SQL["managed_gate"])
+def live_managed_gate(spark, sf_dir):
+    out, checkpoint = scratch.fresh_path(spark, "live"), scratch.fresh_path(spark, "checkpoint")
+    kind = F.col("event_type")
+    sig = F.when(kind == "error", managed.CLOSE_GATE).when(kind == "signup", managed.OPEN_GATE).otherwise(managed.NOOP)
+
+    def start(s):
+        rows = live.files(s.select("marker_ns", "value.*"), ["user_id"], ["marker_ns", "event_id"], sig, F.col("event_id"))
+        return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+
+    _followed(spark, sf_dir, _WHOLE, start)
+    found = spark.read.parquet(out)
+    return found.groupBy("user_id", "file_no", F.coalesce("suffix_argument", F.lit(-1)).alias("suffix_argument")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""{_CHUNKED}, c AS (SELECT no, idx, v FROM f UNION ALL SELECT DISTINCT no, NULL, NULL FROM f)
+SELECT lpad(CAST(no AS VARCHAR), 8, '0') || CASE WHEN no > 0 THEN '-' || CAST(no * 512 AS VARCHAR) ELSE '' END AS name, idx, round(v, 6) AS value FROM c""")
+def live_managed_csv(spark, sf_dir):
+    # One stream, a new file at each 512th position that is named by it; lines of all files, headers as nulls.
+    path, checkpoint = scratch.fresh_path(spark, "live"), scratch.fresh_path(spark, "checkpoint")
+    sig = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
+    write = live.csv_of("idx,value", F.concat_ws(",", "idx", "value"), F.concat(F.lit("-"), F.col("suffix_argument").cast("string")))
+    _followed(spark, sf_dir, _WHOLE, lambda s: live.single(s.select("marker_ns", "value.*"), ["marker_ns", "event_id"], sig, F.col("idx"), path, checkpoint, write, processingTime="0 seconds"))
+    rows = spark.read.schema("line string, batch int, name string").text(path)
+    cell = lambda i, kind: F.expr(f"try_cast(split(line, ',')[{i}] AS {kind})")
+    return rows.select("name", cell(0, "bigint").alias("idx"), F.round(cell(1, "double"), 6).alias("value"))
+
+
+@query("WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, value AS v FROM events) SELECT CAST(trunc(idx // 16 * 16 / (1000.0::DOUBLE / 1e9)) AS BIGINT) AS marker_ns, count(*) AS n, round(sum(v), 6) AS total FROM e GROUP BY idx // 16")
+def table_of_vectors(spark, sf_dir):
+    table = tables.TimeTable(spark, "vectors", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(36_500, "d"), "array<double>")
+    table.write(signal(spark, sf_dir), buffer=16)
+    return table.rows().select("marker_ns", F.size("value").cast("long").alias("n"), F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# -- functions in Python ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_S} SELECT idx, round(lgamma(v), 6) AS value FROM s")
+def python_map(spark, sf_dir):
+    # A function that Spark's expressions lack.
+    return _out(signal(spark, sf_dir).map_batches(lambda v: np.vectorize(math.lgamma, otypes=[float])(v.to_numpy())), spark)
+
+
+@query(f"""WITH {_S}, w AS (SELECT idx, CAST(floor(v) AS BIGINT) AS x FROM s), d AS (SELECT w.idx, k.range AS i, x // CAST(3 ** k.range AS BIGINT) % 3 AS digit FROM w JOIN range(0, 40) k ON CAST(3 ** k.range AS BIGINT) <= x)
+SELECT row_number() OVER (ORDER BY idx, i) - 1 AS idx, CAST(digit AS BIGINT) AS value FROM d""")
+def python_flat_map(spark, sf_dir):
+    # The digits of each value to the base 3, the last first; none for values below 1.
+
+    def digits(values: pa.Array) -> list[np.ndarray]:
+        return [np.array([int(x) // 3**k % 3 for k in range(40) if 3**k <= int(x)], np.int64) for x in values.to_pylist()]
+
+    return signal(spark, sf_dir).flat_map_batches(digits, "bigint").build(spark, RATE)
+
+
+@query(f"WITH {_S} SELECT a.idx, round(sum(b.v * 0.5 ** (a.idx - b.idx)), 6) AS value FROM s a JOIN s b ON b.idx > a.idx - 64 AND b.idx <= a.idx GROUP BY a.idx")
+def python_filter_with_memory(spark, sf_dir):
+    # y[n] = x[n] + y[n - 1] / 2, whose memory of 64 samples ago is below the digits that are compared.
+
+    def filtered(x: np.ndarray, y: float) -> tuple[np.ndarray, float]:
+        out = np.empty(len(x))
+        for i, v in enumerate(x):
+            y = out[i] = v + 0.5 * y
+        return out, y
+
+    found = signal(spark, sf_dir).scan(filtered, 0.0, lambda x: (0.5 ** len(x), filtered(x, 0.0)[1]), lambda y, s: s[0] * y + s[1], block=1 << 10)
+    return _out(found, spark)
+
+
+@query(f"WITH {_S} SELECT a.idx, round(avg(b.v), 6) AS value FROM s a JOIN s b ON b.idx >= a.idx - 5 AND b.idx <= a.idx + 3 GROUP BY a.idx")
+def python_sequence(spark, sf_dir):
+    # Means of up to nine samples, five before and three after.
+
+    def means(x: np.ndarray, here: slice, start: int) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        at = np.arange(here.start, here.stop)
+        lo, hi = np.maximum(at - 5, 0), np.minimum(at + 4, len(x))
+        return (sums[hi] - sums[lo]) / (hi - lo)
+
+    return _out(signal(spark, sf_dir).sequence(means, 5, 3, block=1 << 10), spark)
+
+
+@query(f"WITH {_S}, {_windows(13, 13)} SELECT wid AS idx, b.range AS k, round(sum(v * cos(2 * pi() * b.range * i / n)), 5) + 0.0 AS re, round(-sum(v * sin(2 * pi() * b.range * i / n)), 5) + 0.0 AS im FROM w, range(0, 13) b WHERE b.range < n GROUP BY ALL")
+def dft_of_any_length(spark, sf_dir):
+    # Thirteen elements, and what is left in the last window.
+    found = signal(spark, sf_dir).window(13).dft().build(spark, RATE).select("idx", F.posexplode("value").alias("k", "z"))
+    return found.select("idx", F.col("k").cast("long").alias("k"), (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
+
+
+for _how in ("sum", "min", "max"):
+
+    def _run(spark, sf_dir, how=_how):
+        return _out(signal(spark, sf_dir).window_fold(60, 2, how), spark)
+
+    _QUERIES[f"window_fold_{_how}"] = _run
+    _SQL[f"window_fold_{_how}"] = f"WITH {_S}, {_windows(60, 2)} SELECT wid AS idx, round({_how}(v), 6) AS value FROM w GROUP BY wid"
 
 
 # -- functions and metrics -------------------------------------------------------------------------------------------
@@ -601,10 +794,19 @@ def unsigned_bytes(spark, sf_dir):
     return df.select("idx", samples.as_unsigned_byte(F.col("value")).alias("byte"))
 
 
-@query("SELECT range AS n, CAST(trunc(range / (44100.0::DOUBLE / 1e9)) AS BIGINT) AS ns, CAST(floor(range * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_floor, CAST(ceil(range * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_ceil FROM range(0, 200)")
+@query(f"WITH {_S} SELECT idx AS n, CAST(trunc(idx / (44100.0::DOUBLE / 1e9)) AS BIGINT) AS ns, CAST(floor(idx * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_floor, CAST(ceil(idx * 1000000 / 1e9::DOUBLE * 44100) AS BIGINT) AS at_ceil FROM s")
 def time_and_counts(spark, sf_dir):
-    rows = [(n, samples_to_time(n, 44100.0, "ns"), index_floor(n * 1_000_000, 44100.0), index_ceil(n * 1_000_000, 44100.0)) for n in range(200)]
-    return spark.createDataFrame(rows, "n long, ns long, at_floor long, at_ceil long")
+    n = F.col("idx")
+    df = signal(spark, sf_dir).build(spark, RATE)
+    return df.select(n.alias("n"), time_of(n, 44100.0, "ns").alias("ns"), floor_of(n * 1_000_000, 44100.0).alias("at_floor"), ceil_of(n * 1_000_000, 44100.0).alias("at_ceil"))
+
+
+@query("""WITH u(k, unit, ns) AS (VALUES (0, 'ns', 1), (1, 'us', 1000), (2, 'ms', 1000000), (3, 'S', 1000000000), (4, 'm', 60000000000), (5, ' h', 3600000000000), (6, 'd', 86400000000000), (7, 'weeks', NULL))
+SELECT event_id, CAST(floor(value) AS BIGINT) * ns AS ns FROM events JOIN u ON k = event_id % 8""")
+def time_parse(spark, sf_dir):
+    units = F.array(*(F.lit(u) for u in ("ns", "us", "ms", "S", "m", " h", "d", "weeks")))
+    text = F.concat(F.format_string("%.2f", F.floor("value") + 0.25), F.get(units, (F.col("event_id") % 8).cast("int")))
+    return _events(spark, sf_dir).select("event_id", parse_ns(text).alias("ns"))
 
 
 _HOURS = f"h AS (SELECT CAST(floor({_MS} / 3600000.0) AS BIGINT) AS bucket, sum(value) AS value, max(epoch_us(ts) // 1000) AS newest FROM events GROUP BY 1), t AS (SELECT *, bucket = (SELECT max(bucket) FROM h) AS is_open, CASE WHEN bucket = (SELECT max(bucket) FROM h) THEN newest ELSE bucket * 3600000 END AS \"at\" FROM h)"
@@ -647,6 +849,28 @@ def metric_tags(spark, sf_dir):
     return found.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH e AS (SELECT event_id, {_MS} - (event_id % 7) * 600000 AS ms, value FROM events), w AS (SELECT *, max(ms) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e)
+SELECT CAST(floor(ms / 3600000.0) AS BIGINT) AS bucket, round(sum(value), 4) AS value FROM w WHERE newest IS NULL OR ms >= newest GROUP BY 1""")
+def metric_late_rule(spark, sf_dir):
+    # Values come by event_id, some with times before that of one that came earlier.
+    at = F.unix_millis(F.col("ts").cast("timestamp")) - F.col("event_id") % 7 * 600_000
+    taken, _ = metrics.accepted(_events(spark, sf_dir).withColumn("at", at), F.col("at"), ["event_id"])
+    return metrics.counter_rollup(taken, F.col("at"), F.col("value"), 3_600_000).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT event_type AS name, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def metric_observed(spark, sf_dir):
+    # Observed while the plan writes the events; what is returned is what the collector has been told.
+    collector, df = Collector(), _events(spark, sf_dir)
+    kinds = sorted(r[0] for r in df.select("event_type").distinct().collect())
+    counted = {k: Metric.of("time", "spent", type=k) for k in kinds}
+    seen = collector.observe(df, "events", *(m.column(F.when(F.col("event_type") == k, F.col("value"))) for k, m in counted.items()))
+    seen.write.format("noop").mode("overwrite").save()
+    collector.done("events", 0)
+    rows = [(k, *collector.total(m)) for k, m in counted.items()]
+    return spark.createDataFrame(rows, "name string, n long, total double").withColumn("total", F.round("total", 4))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
