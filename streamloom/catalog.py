@@ -675,7 +675,7 @@ def _table_of(spark, sf_dir, value) -> DataFrame:
     return df.select(((F.unix_micros(F.col("ts").cast("timestamp")) - start) * 1000).alias("marker_ns"), value.alias("value"))
 
 
-_WHOLE = F.struct("event_id", "user_id", "event_type", "value")
+_WHOLE = ["event_id", "user_id", "event_type", "value"]
 
 
 @query(f"WITH {_T} SELECT * FROM t")
@@ -697,7 +697,7 @@ def live_managed_gate(spark, sf_dir):
         rows = live.files(s.select("marker_ns", "value.*"), ["user_id"], ["marker_ns", "event_id"], sig, F.col("event_id"))
         return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
 
-    _followed(spark, sf_dir, _WHOLE, start)
+    _followed(spark, sf_dir, F.struct(*_WHOLE), start)
     found = spark.read.parquet(out)
     return found.groupBy("user_id", "file_no", F.coalesce("suffix_argument", F.lit(-1)).alias("suffix_argument")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -709,7 +709,7 @@ def live_managed_csv(spark, sf_dir):
     path, checkpoint = scratch.fresh_path(spark, "live"), scratch.fresh_path(spark, "checkpoint")
     sig = F.when(F.col("idx") % 512 == 0, managed.FLUSH).otherwise(managed.NOOP)
     write = live.csv_of("idx,value", F.concat_ws(",", "idx", "value"), F.concat(F.lit("-"), F.col("suffix_argument").cast("string")))
-    _followed(spark, sf_dir, _WHOLE, lambda s: live.single(s.select("marker_ns", "value.*"), ["marker_ns", "event_id"], sig, F.col("idx"), path, checkpoint, write, processingTime="0 seconds"))
+    _followed(spark, sf_dir, F.struct(*_WHOLE), lambda s: live.single(s.select("marker_ns", "value.*"), ["marker_ns", "event_id"], sig, F.col("idx"), path, checkpoint, write, processingTime="0 seconds"))
     rows = spark.read.schema("line string, batch int, name string").text(path)
     cell = lambda i, kind: F.expr(f"try_cast(split(line, ',')[{i}] AS {kind})")
     return rows.select("name", cell(0, "bigint").alias("idx"), F.round(cell(1, "double"), 6).alias("value"))
