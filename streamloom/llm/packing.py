@@ -12,6 +12,7 @@ any length is cut into as many pieces as it takes; an empty table gives an empty
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -35,21 +36,28 @@ REMEMBERED_CHARS = 64
 class ChunkIds(dict):
     """The ids of a chunk, white space and what follows it, as little-endian unsigned 32-bit bytes. Byte-level BPE never
     merges across the border between a character and the white space after it, so a text's ids are those of its chunks.
-    Where the same vocabulary is at hand as ranks, new chunks go to the faster library; the ids are the same."""
+    Where the same vocabulary is at hand as ranks, new chunks go to the faster library; the ids are the same.
 
-    def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None):
+    The tokenizer's special tokens, which have no white space, become their own ids where a text spells them, as the tokenizer has it;
+    plain_special: they are spelt out like other text, so that no text can end a document for a trainer."""
+
+    def __init__(self, tokenizer: str, ranks: str | None = None, pattern: str | None = None, plain_special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if ranks:
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-            self.of = tiktoken.Encoding(os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            with open(tokenizer, encoding="utf-8") as f:
+                special = {} if plain_special else {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+            found = tiktoken.Encoding(os.path.basename(ranks), pat_str=pattern, mergeable_ranks=table, special_tokens=special)
+            spelt = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+            self.of = lambda chunk: found.encode(chunk, allowed_special="all") if spelt.search(chunk) else found.encode_ordinary(chunk)
         else:
             from tokenizers import Tokenizer
 
-            found = Tokenizer.from_file(tokenizer)
-            found.encode_special_tokens = True
-            self.of = lambda chunk: found.encode(chunk, add_special_tokens=False).ids
+            plain = Tokenizer.from_file(tokenizer)
+            plain.encode_special_tokens = plain_special
+            self.of = lambda chunk: plain.encode(chunk, add_special_tokens=False).ids
 
     def __missing__(self, chunk: str) -> bytes:
         ids = array("I", self.of(chunk)).tobytes()
@@ -66,14 +74,14 @@ class ChunkIds(dict):
 _loaded: dict[tuple, ChunkIds] = {}
 
 
-def chunk_ids(*tokenizer: str | None) -> ChunkIds:
+def chunk_ids(*tokenizer: str | bool | None) -> ChunkIds:
     """One cache for each tokenizer in a Python worker."""
     if tokenizer not in _loaded:
         _loaded[tokenizer] = ChunkIds(*tokenizer)
     return _loaded[tokenizer]
 
 
-def pieces(docs: DataFrame, tokenizer: tuple[str | None, ...], id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: tuple[str | None, ...], id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, plain_special: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32 and doc_tokens of the pieces of every document, and doc_crc32, a hash of all its ids.
     tokenizer: the arguments of ChunkIds, paths that every executor can open."""
     end = np.array([end_id], "<u4").tobytes()
@@ -81,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str | None, ...], id_col: str = "do
     names = ("start", "length", "ids_crc32", "doc_tokens", "doc_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = chunk_ids(*tokenizer)
+        ids = chunk_ids(*tokenizer, *[None] * (3 - len(tokenizer)), plain_special)
         for b in batches:
             where, rows = [], []
             for k, text in enumerate(b.column(1)):
@@ -142,7 +150,8 @@ def pack(found: DataFrame, groups: int, size: int = 2048, seed: int = 7) -> Data
     return keyed.groupBy("pack_group").applyInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: tuple[str | None, ...], id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, group_docs: int = 4096, min_groups: int = 1) -> DataFrame:
-    """Pack all documents in groups of about group_docs documents each. The number of groups follows the number of rows."""
+def pack_documents(docs: DataFrame, tokenizer: tuple[str | None, ...], id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1, group_docs: int = 4096, min_groups: int = 1, plain_special: bool = False) -> DataFrame:
+    """Pack all documents in groups of about group_docs documents each. The number of groups follows the number of rows. plain_special: see
+    ChunkIds."""
     groups = max(min_groups, -(-docs.count() // group_docs))
-    return pack(pieces(docs, tokenizer, id_col, text_col, size, end_id), groups, size)
+    return pack(pieces(docs, tokenizer, id_col, text_col, size, end_id, plain_special), groups, size)

@@ -18,7 +18,6 @@ TEXTS = ["a  b", "  x", "x \n y", "\n\n\n", "I'll  'll don't", "\x1cab !\x1c c",
 @pytest.fixture(scope="module")
 def reference():
     found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
     return lambda text: [*found.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -29,8 +28,16 @@ def test_chunks_give_the_tokenizers_ids(reference):
         assert fast.encode(text or "") == want == plain.encode(text or "")
 
 
+def test_special_tokens():
+    for end in (3, 1):
+        assert np.frombuffer(packing.chunk_ids(*tokenizer()[:end]).encode("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+        paths = (*tokenizer()[:end], None, None)[:3]
+        plain = np.frombuffer(packing.chunk_ids(*paths, True).encode("a<|endoftext|>b"), "<u4").tolist()
+        assert 50256 not in plain and plain[0] == 64 and plain[-1] == 65
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+@given(st.text(max_size=60).flatmap(lambda t: st.sampled_from([t, f"{t}<|endoftext|>{t}", f"<|endoftext|> {t} <|endoftext|>"])))
 def test_any_text(reference, text):
     assert packing.chunk_ids(*tokenizer()).encode(text) == np.array(reference(text)[:-1], "<u4").tobytes()
 
