@@ -10,7 +10,8 @@ Files are opened with pyarrow's file systems, so the shared folder may be a loca
 
 Defined results: a null html is an empty payload; all rows that carry the smallest page_id of a group are responses;
 a null page_id is never a response that others refer to, it comes back as null; a null url is written as an empty
-target; an empty table gives an empty manifest and no rows; other columns are not looked at.
+target; ids of any type are written as text, quoted, and read back as the type that is asked for; an empty table gives an empty
+manifest and no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,30 +20,30 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import fresh_path, materialize
+from streamloom.llm.common import fresh_path, likely, materialize
 
 CHUNK = 1 << 16
 MANIFEST = "path string, n_records long, n_bytes long"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORDS = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: str | int | None, url: str, payload: bytes, digest: str, refers_to: str | int | None) -> bytes:
     """One record as a gzip member. A revisit keeps the HTTP head, with the full payload's length, and no payload."""
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{page_id}"
+    name = f"urn:uuid:{uuid.uuid4()}" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -55,7 +56,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{quote(str(refers_to), safe='')}>"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
@@ -141,21 +142,24 @@ def read_records(source, keep_payload: bool = False) -> Iterator[dict]:
         yield {"warc": warc, "http": http or {}, "payload_bytes": size} | ({"payload": b"".join(kept)} if keep_payload else {})
 
 
-def _page(name: str | None) -> int | None:
-    return int(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
+def _page(name: str | None) -> str | None:
+    return unquote(name[len("<urn:page:") : -1]) if name and name.startswith("<urn:page:") else None
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100, max_archive_bytes: int = 1 << 30) -> DataFrame:
-    """Write all pages as WARC files in the shared folder. Returns the manifest: path, n_records, n_bytes."""
+    """Write all pages as WARC files in the shared folder. Returns the manifest: path, n_records, n_bytes. Of payloads only those are shuffled
+    whose digest may come more than once."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     firsts = materialize(
         rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n"),
         "warc-firsts",
     )
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(None)).otherwise(F.col("first_id"))
-    ready = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    refers = F.when(F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(None)).otherwise(F.col("first_id")).cast("string")
+    named = [F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest"]
+    shared, lone = likely(rows, F.col("digest"), firsts.select("digest"))
+    ready = lone.select(*named, F.lit(None).cast("string").alias("refers_to")).unionByName(shared.join(firsts, "digest", "left").select(*named, refers.alias("refers_to")))
     folder = fresh_path(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +186,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return materialize(ready.mapInArrow(write, MANIFEST), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """One row for each record of the manifest's archives, in tasks of one archive or a few."""
+def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
+    """One row for each record of the manifest's archives, in tasks of one archive or a few; ids as id_type."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +204,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))
+        kinds = (("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()))
         return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds)})
 
     n = max(1, manifest.count())
-    return manifest.select("path").repartition(n, "path").mapInArrow(read, RECORDS)
+    found = manifest.select("path").repartition(n, "path").mapInArrow(read, RECORDS)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

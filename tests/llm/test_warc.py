@@ -52,3 +52,13 @@ def test_broken_archives_raise():
     wrong = warc.record(1, "u", b"hello", hashlib.sha256(b"other").hexdigest(), None)
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(wrong)))
+
+
+def test_ids_of_other_types(spark):
+    body = "b" * 200
+    rows = [("p/2 é", "u", body), ("p/10>", "u", body), (None, "u", "x"), ("", "u", body + "c")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df), "string").collect()}
+    assert got == {("p/2 é", "revisit", "p/10>"), ("p/10>", "response", None), (None, "response", None), ("", "response", None)}
+    number = spark.createDataFrame([(1.5, "u", body)], "page_id double, url string, html string")
+    assert warc.read_archives(warc.write_archives(number), "double").first().page_id == 1.5
