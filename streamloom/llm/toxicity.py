@@ -192,7 +192,7 @@ class WordValues(dict):
 
 def _sent(docs: DataFrame, model: Model, text_col: str, out: str) -> DataFrame:
     table = model.ratios.orderBy("gram").toArrow() if model.n_grams else pa.table({"gram": [0], "ratio": [0.0]})
-    shared = docs.sparkSession.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("ratio").to_numpy().astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((table.column("gram").to_numpy(), table.column("ratio").to_numpy()))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -105,10 +105,10 @@ def test_ratios_against_brute_force(spark, corpus):
     for r in scored:
         words = re.findall(r"\w+", r.text.lower())
         total = [sum(ratios.get(packed(g), 0) for g in grams(w)) for w in words]
-        assert abs(r.difference - sum(math.log(toxicity.PLAIN + (1 - toxicity.PLAIN) * math.exp(t)) for t in total) / len(words)) < 1e-5
+        assert abs(r.difference - sum(math.log(toxicity.PLAIN + (1 - toxicity.PLAIN) * math.exp(t)) for t in total) / len(words)) < 1e-12
     # A table of ratios that is too large to send gives the same.
     joined = {r.doc_id: r.difference for r in toxicity.differences(docs, model, sent_grams=0).collect()}
-    assert all(abs(joined[r.doc_id] - r.difference) < 1e-5 for r in scored)
+    assert all(abs(joined[r.doc_id] - r.difference) < 1e-12 for r in scored)
 
 
 def test_clashing_columns_long_texts_repeats_and_empty_tables(spark, corpus):
