@@ -46,6 +46,13 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.col("text"), ["doc_id"])
 
 
+def licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan with directories that have licence files: each fiftieth document is taken for one, of its source and all below."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat_ws("/", "lang", F.col("doc_id").cast("string"))))
+    return licences.scan(docs, path, F.col("text"), ["doc_id"])
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality_model.train(docs, _table(spark, sf_dir, "labels"))
@@ -94,7 +101,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
-    return found | {"quality_rule_ablations": quality_rule_ablations}
+    return found | {"licence_inheritance": licence_inheritance, "quality_rule_ablations": quality_rule_ablations}
 
 
 #: Shingles of five words of a table d(id, text), spelled out.
@@ -161,5 +168,6 @@ FROM p LEFT JOIN f USING (digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licences": licences.oracle(), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op10_warc_roundtrip": OP10_SQL,
+    return {"op5_licences": licences.oracle("concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"),
+            "licence_inheritance": licences.oracle("concat_ws('/', source, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE concat_ws('/', lang, CAST(doc_id AS VARCHAR)) END)"), "op7_decontamination": OP7_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op10_warc_roundtrip": OP10_SQL,
             "op11_ball_clusters": ball_kmeans.oracle(), "op12_prefix_trie": prefix_trie.ORACLE, "op13_url_filter": url_filter.oracle()}
