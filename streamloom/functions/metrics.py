@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.operators import indexing
@@ -32,12 +32,16 @@ def time_rollup(df: DataFrame, timestamp: Column, elapsed: Column, granularity:
 
 
 def gauge_rollup(df: DataFrame, timestamp: Column, is_set: Column, value: Column, order: list[str], granularity: int, *tags: str) -> DataFrame:
-    """Each bucket's gauge: the last value set and the increments after it, or the increments alone (is_set false)."""
-    rows = df.select(*tags, *order, bucket(timestamp, granularity).alias("bucket"), is_set.alias("_set"), value.alias("_v"))
-    w = Window.partitionBy(*tags, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_era", F.sum(F.col("_set").cast("int")).over(w))
-    eras = rows.groupBy(*tags, "bucket", "_era").agg(F.sum("_v").alias("value"))
-    return eras.groupBy(*tags, "bucket").agg(F.max_by("value", "_era").alias("value"), (F.max("_era") > 0).alias("is_set"))
+    """Each bucket's gauge: the last value set and the increments after it, or the increments alone (is_set false). Where a bucket was last
+    set is an aggregate that its rows meet in a join, so a bucket of any size is many tasks."""
+    keys = [*tags, "bucket"]
+    rows = df.select(*tags, F.struct(*order).alias("_at"), bucket(timestamp, granularity).alias("bucket"), F.coalesce(is_set, F.lit(False)).alias("_set"), value.alias("_v"))
+    last = rows.groupBy(*keys).agg(F.max(F.when(F.col("_set"), F.col("_at"))).alias("_last")).toDF(*(f"_k{i}" for i in range(len(keys))), "_last")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = rows.join(last, same).where(F.col("_last").isNull() | (F.col("_at") >= F.col("_last")))
+    return met.groupBy(*keys).agg(F.sum("_v").alias("value"), F.max("_last").isNotNull().alias("is_set"))
 
 
 def is_super_of(tags: Column, wanted: dict[str, str]) -> Column:
