@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import discard, materialize
+from streamloom.llm.common import discard, likely, materialize
 
 SIZE = 400
 GRAM = 32
@@ -291,8 +291,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = contents.join(anchors.where("n > 1").select("key"), "key", "left_semi").select("key", "unit", "copies", "at.*")
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "unit", "copies", "start", "end", "pos")).alias("w"))
     wanted = materialize(wanted.join(texts.select("t1", "t2", "rep"), ["t1", "t2"]), "passages-wanted")
-    # One row of each text is enough to read its fragments off.
-    from_texts = rows.join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("data", F.explode("w").alias("w"))
+    # One row of each text is enough to read its fragments off. Of all texts only those that may have such fragments are shuffled.
+    from_texts = likely(rows, F.col("t1"), wanted.select("t1"))[0].join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("data", F.explode("w").alias("w"))
     span = F.expr("substring(data, w.start + 1, w.end - w.start)")
     units = from_texts.select("w.key", "w.unit", "w.copies", span.alias("content"), (F.col("w.start") - F.col("w.pos")).cast("long").alias("off"), (F.col("w.start") - F.col("w.pos")).cast("long").alias("low"), (F.col("w.end") - F.lit(size) - F.col("w.pos")).cast("long").alias("high"))
     units = materialize(units, "passages-units").dropDuplicates(["key", "unit"])
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 out.append((t1, t2, int(covered.sum()), len(_runs(covered)), hashlib.sha256(kept).hexdigest()))
             yield _batch(out, {"t1": pa.int64(), "t2": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.string()})
 
-    partly = rows.join(marked, ["t1", "t2"]).select("t1", "t2", "data", "runs").mapInArrow(erase, "t1 long, t2 long, n_removed long, n_spans long, kept string")
+    partly = likely(rows, F.col("t1"), marked.select("t1"))[0].join(marked, ["t1", "t2"]).select("t1", "t2", "data", "runs").mapInArrow(erase, "t1 long, t2 long, n_removed long, n_spans long, kept string")
     copied = texts.where((F.col("n") > 1) & (F.col("n_bytes") >= size)).select("t1", "t2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
     changed = materialize(partly.unionByName(copied), "passages-changed")
     zero = F.lit(0).cast("long")
