@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -652,6 +653,55 @@ def managed_wav_files(spark, sf_dir):
     return pcm.wav_files(spark, path).select("name", "idx", F.round("value", 9).alias("value"))
 
 
+@query(f"WITH {_S} SELECT idx, round(v, 6) AS value FROM s")
+def function_sink(spark, sf_dir):
+    # A function that writes what it is given to a file of its range, line by line, and names it when the range has ended.
+    folder = scratch.fresh_path(spark, "function")
+
+    def make(first: int):
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        lines = []
+
+        def fn(phase: str, at: int, value) -> bool:
+            if phase == "write":
+                lines.append(f"{at},{value!r}")
+            elif phase == "end":
+                with store.open_output_stream(f"{root}/range-{first:012d}.csv") as out:
+                    out.write("\n".join(lines).encode())
+            return True
+
+        return fn
+
+    sinks.to_function_in_tasks(signal(spark, sf_dir), spark, make, RATE)
+    return spark.read.schema("idx long, value double").csv(folder).select("idx", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {_S}, n AS (SELECT count(*) AS n FROM s) SELECT range AS idx, round(coalesce(round_even((v * 0.004::DOUBLE - 1) * 8388607, 0) / 8388607, 0.5), 9) AS value FROM n, range(0, n + 100) LEFT JOIN s ON s.idx = range")
+def wav_converter(spark, sf_dir):
+    # 24 bits, and an endless stream of the file, which goes on with one value.
+    path = scratch.fresh_path(spark, "wav") + "/one.wav"
+    pcm.write_wav(signal(spark, sf_dir) * 0.004 - 1.0, spark, path, RATE, 24)
+    endless = pcm.wave(spark, path, resample=False, converter=lambda s: s.after_filling(0.5), range_bytes=1 << 12)
+    return _out(endless.trim(_events(spark, sf_dir).count() + 100), spark, 9)
+
+
+@query(f"WITH {_T}, m AS (SELECT min(marker_ns) AS lo, max(marker_ns) AS hi FROM t) SELECT 'kept' AS what, count(*) AS n, min(marker_ns) AS first_marker, max(marker_ns) AS last_marker FROM t, m WHERE marker_ns >= lo + (hi - lo) // 2")
+def table_late_rows(spark, sf_dir):
+    # The later half first; the earlier half is refused as a whole, and so is anything once the table is finished.
+    rows, table = _table(spark, sf_dir), tables.TimeTable(spark, "late", scratch.fresh_path(spark, "table"), RATE, TimeMeasure(36_500, "d"))
+    low, high = rows.agg(F.min("marker_ns"), F.max("marker_ns")).first()
+    half = F.col("marker_ns") >= low + (high - low) // 2
+    table.append(rows.where(half))
+    for late in (True, False):
+        try:
+            table.append(rows.where(~half) if late else rows.where(half))
+        except ValueError:
+            table.finish()
+    found = table.rows().agg(F.count("*").alias("n"), F.min("marker_ns").alias("first_marker"), F.max("marker_ns").alias("last_marker"))
+    return found.select(F.lit("kept").alias("what"), "n", "first_marker", "last_marker")
+
+
 # -- running streams -------------------------------------------------------------------------------------------------
 
 

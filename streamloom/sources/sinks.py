@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamloom.functions.time import UNITS, rate_of
 from streamloom.operators import indexing, spectral
 from streamloom.plans.stream import Stream
+from streamloom.scratch import materialize
 from streamloom.sources import pcm
 from streamloom.streaming import managed
 
@@ -116,6 +118,35 @@ def to_function(stream: Stream, spark: SparkSession, fn: Callable[[str, int, Any
     fn("close", n, None)
 
 
+def to_function_in_tasks(stream: Stream, spark: SparkSession, make: Callable[[int], Callable[[str, int, Any], bool]], rate: float = 44100.0) -> list[tuple[int, int, bool]]:
+    """As to_function(), but each range of the stream in a task of its own: make(first position) gives a function there, which is called for the
+    range's elements in order, phases "write", until it returns False, "end" if the range ended, "close". Ranges run side by side, so a
+    False stops its range alone; a task that is run again calls anew, so functions should write what can be written twice, as files named by
+    the first position. Returns the first position, the number of elements written and whether it ended, of each range in order."""
+    stream.check_rate(rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, first, at, n, ended = None, 0, 0, 0, True
+        for b in batches:
+            if b.num_rows and fn is None:
+                first = b.column("idx")[0].as_py()
+                fn = make(first)
+            for at, value in zip(b.column("idx").to_pylist(), b.column("value").to_pylist(), strict=True) if ended else ():
+                ended = bool(fn("write", at, value))
+                if not ended:
+                    break
+                n += 1
+        if fn is not None:
+            if ended:
+                fn("end", at + 1, None)
+            fn("close", at + 1, None)
+            yield pa.RecordBatch.from_pydict({"first": [first], "n": [n], "ended": [ended]})
+
+    ordered = stream.build(spark, rate).select("idx", "value").repartitionByRange("idx").sortWithinPartitions("idx")
+    found = materialize(ordered.mapInArrow(run, "first long, n long, ended boolean"), "function-sink")
+    return sorted(tuple(r) for r in found.collect())
+
+
 def to_dev_null(stream: Stream, spark: SparkSession, rate: float = 44100.0) -> None:
     stream.check_rate(rate)
     stream.build(spark, rate).write.format("noop").mode("overwrite").save()

@@ -95,3 +95,27 @@ def test_vectors_and_a_file_in_the_way(spark, tmp_path):
     assert pcm.write_wav(signal(spark, 100).vectors(7), spark, str(path), 100.0) == 200
     assert np.allclose(values(pcm.wav_files(spark, str(path))), (np.arange(100) % 251 - 125) / 32767, atol=1e-9)
     assert [n for n in files.names(spark, str(tmp_path)) if n.endswith(".wav")] == ["v.wav"]
+
+
+def test_function_sink_in_tasks(many_ranges, tmp_path):
+    from streamloom.sources import sinks
+
+    def make(first):
+        said = []
+
+        def fn(phase, at, value):
+            said.append((phase, at))
+            if phase == "close":
+                (tmp_path / f"{first:06d}").write_text(repr(said))
+            return not (phase == "write" and value == 3.0)
+
+        return fn
+
+    s = Stream.from_indexed(many_ranges.range(100).selectExpr("id as idx", "cast(id % 50 as double) as value"))
+    found = sinks.to_function_in_tasks(s, many_ranges, make)
+    assert len(found) > 2 and found[0][0] == 0 and found[0][1:] == (3, False) and [f for f, _, _ in found] == sorted(f for f, _, _ in found)
+    first = eval((tmp_path / "000000").read_text())
+    assert first == [*(("write", i) for i in range(4)), ("close", 4)]
+    whole = [f for f, n, ended in found if ended and n]
+    last = eval((tmp_path / f"{whole[-1]:06d}").read_text())
+    assert last[-2:] == [("end", last[-3][1] + 1), ("close", last[-3][1] + 1)]
