@@ -94,19 +94,21 @@ def _free(df: DataFrame, name: str) -> str:
 
 def started(rows: DataFrame, part: str, starts: dict[int, object], kind: str, name: str) -> DataFrame:
     """rows with what lies before their range, in a column `name`."""
-    if len(starts) == 1:
+    if len(starts) == 1 and not kind.startswith("struct"):
         return rows.withColumn(name, F.lit(next(iter(starts.values()))).cast(kind))
     at = _free(rows, "range")
     table = rows.sparkSession.createDataFrame(list(starts.items()), f"`{at}` long, `{name}` {kind}")
     return rows.join(F.broadcast(table), F.col(part) == F.col(at)).drop(at)
 
 
-def carry(rows: DataFrame, part: str, place: str, column: Column, name: str, how: str, inclusive: bool = False) -> DataFrame:
+def carry(rows: DataFrame, part: str, place: str, column: Column, name: str, how: str, inclusive: bool = False, keys: list[str] | None = None) -> DataFrame:
     """rows of ranged() with the sum, the greatest or the last value that is not null of column, over all rows before each one,
-    or up to it; null where there is none.
+    or up to it; null where there is none. keys: over those of the same keys, which are the first ordering columns.
 
-    Each range is summed up, the driver goes over the summaries, one for each range, and each range goes on from there."""
-    whole = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    Each range is summed up, the driver goes over the summaries, one for each range, and each range goes on from there. With keys only
+    the first ones of a range can go on from the range before."""
+    keys = keys or []
+    whole = Window.partitionBy(part, *keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     given_name = _free(rows, "given")
     given, so_far_here = F.col(given_name), F.col(name)
     known = F.when(column.isNotNull(), F.col(place))
@@ -122,15 +124,23 @@ def carry(rows: DataFrame, part: str, place: str, column: Column, name: str, how
         inner, total = F.last(column, ignorenulls=True).over(whole), F.max_by(column, known)
         combine = lambda a, b: a if b is None else b
         both = F.coalesce(so_far_here, given)
-    sums = rows.groupBy(part).agg(total.alias("total"))
-    found = sorted(((r[0], r[1]) for r in sums.collect()), key=lambda r: r[0])
-    starts, so_far = {}, None
-    for k, value in found:
-        starts[k] = so_far
-        so_far = combine(so_far, value)
+    key_name = _free(rows, "key")
+    key = F.struct(*(F.col(k) for k in keys), F.lit(0).alias("_"))
+    sums = rows.groupBy(part, *keys).agg(total.alias("total")).select(part, key.alias("key"), "total")
+    ends = sums.groupBy(part).agg(F.min("key").alias("first"), F.min_by("total", "key").alias("of_first"), F.max("key").alias("last"), F.max_by("total", "key").alias("of_last"))
+    starts, so_far, last = [], None, None
+    for r in sorted(ends.collect(), key=lambda r: r[0]):
+        start = so_far if r["first"] == last else None
+        starts.append((r[0], (r["first"], start)))
+        so_far, last = combine(start, r["of_last"]) if r["first"] == r["last"] else r["of_last"], r["last"]
     kind = sums.schema["total"].dataType.simpleString()
-    carried = started(rows.withColumn(name, inner), part, starts, kind, given_name)
-    return carried.withColumn(name, both).drop(given_name)
+    if not keys:
+        plain = {k: start for k, (_, start) in starts}
+        return started(rows.withColumn(name, inner), part, plain, kind, given_name).withColumn(name, both).drop(given_name)
+    table = f"struct<key: {sums.schema['key'].dataType.simpleString()}, start: {kind}>"
+    carried = started(rows.withColumn(name, inner).withColumn(key_name, key), part, dict(starts), table, given_name)
+    found = carried.withColumn(given_name, F.when(F.col(key_name).eqNullSafe(F.col(given_name)["key"]), F.col(given_name)["start"]))
+    return found.withColumn(name, both).drop(given_name, key_name)
 
 
 def dense_index(df: DataFrame, order_by: list[str], name: str = "idx") -> DataFrame:

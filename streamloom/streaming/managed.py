@@ -57,17 +57,28 @@ def files(df: DataFrame, signal: Column, argument: Column, keys: list[str] | Non
     A flush ends the file before its element; the element of a closing gate is not written, that of an opening gate is;
     the element of a closing output is written, if the gate is open, and is the last. Repeated opening or closing
     changes nothing. A new file starts at a flush after something was written, and at an opening gate; its argument names
-    it, the first file has none. keys: one stream for each key, in windows. Without keys the state runs over the whole stream,
+    it, the first file has none. keys: one stream for each key, in windows, but for keys of more than HOT rows, whose state is carried over
+    ranges. Without keys the state runs over the whole stream,
     range by range: each is summed up and goes on from what those before it come to.
     """
-    s, dropped = _marked(df, signal, argument, keys, State())
+    if keys:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_hot_{k}"))
+        hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*(F.col(f"`{k}`").alias(f"_hot_{k}") for k in keys))
+        hot = materialize(hot, "hot-keys")
+        if not hot.isEmpty():
+            cold, _ = _marked(df.join(hot, same, "left_anti"), signal, argument, keys, State(), ranges=False)
+            warm, dropped = _marked(df.join(hot, same, "left_semi"), signal, argument, keys, State(), ranges=True)
+            return cold.where("_written = 1").drop(*_PARTS).unionByName(warm.where("_written = 1").drop(*_PARTS, *dropped))
+    s, dropped = _marked(df, signal, argument, keys, State(), ranges=not keys)
     return s.where("_written = 1").drop(*_PARTS, *dropped)
 
 
 def advance(df: DataFrame, signal: Column, argument: Column, state: State) -> tuple[DataFrame, State]:
     """files() of the next elements of a stream without keys that has come to a state, with `begins` on the first row of each file; and the
     state after them. df has idx."""
-    marked, dropped = _marked(df, signal, argument, None, state)
+    marked, dropped = _marked(df, signal, argument, None, state, ranges=True)
     s = materialize(marked.withColumn("begins", (F.coalesce("_starts", F.lit(0)) == 1) | (F.col("_some") == 0)), "marked")
     known = F.when(F.col("_gate").isNotNull(), F.col("idx"))
     found = s.agg(
@@ -83,10 +94,14 @@ def advance(df: DataFrame, signal: Column, argument: Column, state: State) -> tu
 _PARTS = ["_s", "_arg", "_gate", "_was", "_open", "_ended", "_written", "_some", "_starts"]
 
 
-def _marked(df: DataFrame, signal: Column, argument: Column, keys: list[str] | None, state: State) -> tuple[DataFrame, list[str]]:
-    """All rows with the parts of the machine, and the names of further columns."""
+#: Rows of one key that a task takes at most.
+HOT = 1 << 22
+
+
+def _marked(df: DataFrame, signal: Column, argument: Column, keys: list[str] | None, state: State, ranges: bool) -> tuple[DataFrame, list[str]]:
+    """All rows with the parts of the machine, by ranges or by windows over keys, and the names of further columns."""
     s = df.withColumn("_s", signal).withColumn("_arg", argument)
-    if keys:
+    if not ranges:
         every = Window.partitionBy(*keys).orderBy("idx")
         over = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
 
@@ -95,10 +110,10 @@ def _marked(df: DataFrame, signal: Column, argument: Column, keys: list[str] | N
 
         dropped = []
     else:
-        s, part, place = indexing.ranged(s, ["idx"])
+        s, part, place = indexing.ranged(s, [*(keys or []), "idx"])
 
         def scan(rows: DataFrame, column: Column, name: str, how: str, inclusive: bool = False) -> DataFrame:
-            return indexing.carry(rows, part, place, column, name, how, inclusive)
+            return indexing.carry(rows, part, place, column, name, how, inclusive, keys)
 
         dropped = [part, place]
     s = s.withColumn("_gate", F.when(F.col("_s").isin(OPEN_GATE, CLOSE_GATE), (F.col("_s") == OPEN_GATE).cast("int")))

@@ -135,3 +135,21 @@ def test_keyed_sinks(spark, tmp_path):
     for n, x in files.items():
         got = [r.value for b in sorted((tmp_path / "wav").glob("batch=*")) if (b / f"{n}.wav").exists() for r in pcm.wave(spark, str(b / f"{n}.wav"), resample=False).build(spark, 1000.0).orderBy("idx").collect()]
         assert np.allclose(got, np.array(x) / 64, atol=4e-5)
+
+
+def test_hot_keys_by_ranges(spark, monkeypatch):
+    rows = events(7, 600)
+    # Half of all rows have one key, the null key is hot too; ranges cut through them.
+    df = spark.createDataFrame([(i, "x" if i % 2 else k, s, a, v) for i, k, s, a, v in rows], KIND)
+    want = sorted(map(repr, managed.files(df, F.col("s"), F.col("a"), ["k"]).collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for hot in (50, 0):
+            monkeypatch.setattr(managed, "HOT", hot)
+            assert sorted(map(repr, managed.files(df, F.col("s"), F.col("a"), ["k"]).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    single = sorted(map(repr, managed.files(df, F.col("s"), F.col("a")).collect()))
+    signal, argument = np.array([r[2] for r in rows]), np.array([r[3] for r in rows], object)
+    written, _, file_no, suffix, _ = managed.step(signal, argument, managed.State())
+    assert len(single) == written.sum()
