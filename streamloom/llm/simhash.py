@@ -1,9 +1,11 @@
 """SimHash near-duplicates by a self-join of the binary trie of fingerprints.
 
 1. A fingerprint of 64 bits per document, from the XXH64 of its word shingles (in tasks, numpy).
-2. Distinct fingerprints are the leaves of a binary trie. Its upper levels are walked as a table: a node is a prefix,
-   and a pair of nodes survives if their prefixes differ in no more bits than the error budget. Pairs of crowded
-   subtrees are taken six levels further down, until each pair fits a task.
+2. Distinct fingerprints are the leaves of binary tries, one for each of budget + 1 blocks of bits, which is turned to the top. Of two
+   fingerprints within the budget one block is equal, so in one trie they are below the same node of its upper levels, and nodes
+   meet themselves there: each fingerprint goes to as many tables of nodes as there are blocks, however many fingerprints there are.
+   Crowded nodes are taken six levels further down as pairs of nodes, of which those survive whose prefixes differ in no more bits
+   than the error budget, until each pair fits a task.
 3. Each task walks the pairs of nodes below its pair together, bit by bit, adds up differing bits and drops a pair
    as soon as they exceed the budget. What is left are the links; a task returns a spanning star of each local component.
 4. Components of the stars, by contraction (components.py).
@@ -151,32 +153,33 @@ def _masks(bits: int, budget: int) -> list[int]:
 
 
 def node_pairs(fps: DataFrame, budget: int = 2, pair_rows: int = PAIR_ROWS) -> DataFrame:
-    """Rows (pa, pb, depth, top, fp): every fingerprint with each pair of trie nodes that it takes part in; top: it is below pb."""
-    n = fps.count()
-    depth = min(24, max(6, math.ceil(math.log2(max(1, n) / (pair_rows / 4)))))
+    """Rows (turn, pa, pb, depth, fp): every fingerprint, turned left by so many bits, with each pair of nodes of that trie that it takes
+    part in."""
+    n, width = fps.count(), BITS // (budget + 1)
+    depth = min(width, 24, max(6, math.ceil(math.log2(max(1, n) / (pair_rows / 4)))))
 
     def prefix(bits: int):
         return F.shiftrightunsigned("fp", BITS - bits)
 
-    masks = F.array(*(F.lit(m).cast("long") for m in _masks(depth, budget)))
-    rows = fps.select("fp", prefix(depth).alias("p"), F.explode(masks).alias("m")).select(F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("pa"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("pb"), F.lit(depth).alias("depth"), "fp")
-    out = None
+    turned = [F.struct(F.lit(k * width).alias("turn"), F.shiftleft("fp", k * width).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * width) if k else F.lit(0).cast("long")).alias("fp")) for k in range(budget + 1)]
+    rows = fps.select(F.explode(F.array(*turned)).alias("t")).select("t.turn", "t.fp").select("turn", prefix(depth).alias("pa"), prefix(depth).alias("pb"), F.lit(depth).alias("depth"), "fp")
+    node, out = ["turn", "pa", "pb"], None
     while True:
         above = F.expr("shiftrightunsigned(fp, 64 - depth) = pb AND pa <> pb").cast("int")
-        sizes = rows.groupBy("pa", "pb").agg(F.count("*").alias("n"), F.sum(above).alias("n_top")).where(F.col("n") > pair_rows)
-        big = materialize(sizes.select("pa", "pb", F.expr("pa = pb OR n_top BETWEEN 1 AND n - 1").alias("met")), "simhash-crowded")
+        sizes = rows.groupBy(*node).agg(F.count("*").alias("n"), F.sum(above).alias("n_top")).where(F.col("n") > pair_rows)
+        big = materialize(sizes.select(*node, F.expr("pa = pb OR n_top BETWEEN 1 AND n - 1").alias("met")), "simhash-crowded")
         if depth >= BITS - 6 or big.isEmpty():
             return rows if out is None else out.unionByName(rows)
-        small = rows.join(big.select("pa", "pb"), ["pa", "pb"], "left_anti")
+        small = rows.join(big.select(*node), node, "left_anti")
         out = small if out is None else out.unionByName(small)
         lower = F.array(*(F.lit(m).cast("long") for m in _masks(6, budget)))
-        crowded = materialize(rows.join(big.where("met").select("pa", "pb"), ["pa", "pb"], "left_semi"), "simhash-rows")
+        crowded = materialize(rows.join(big.where("met").select(*node), node, "left_semi"), "simhash-rows")
         other = F.shiftleft(F.col("pa").bitwiseXOR(F.col("pb")), 6)
         rows = (
-            crowded.select("fp", other.alias("o"), F.explode(lower).alias("m"))
+            crowded.select("turn", "fp", other.alias("o"), F.explode(lower).alias("m"))
             .where(F.bit_count("o") + F.bit_count("m") <= budget)
-            .select("fp", prefix(depth + 6).alias("p"), F.col("o").bitwiseOR(F.col("m")).alias("x"))
-            .select(F.least("p", F.col("p").bitwiseXOR(F.col("x"))).alias("pa"), F.greatest("p", F.col("p").bitwiseXOR(F.col("x"))).alias("pb"), F.lit(depth + 6).alias("depth"), "fp")
+            .select("turn", "fp", prefix(depth + 6).alias("p"), F.col("o").bitwiseOR(F.col("m")).alias("x"))
+            .select("turn", F.least("p", F.col("p").bitwiseXOR(F.col("x"))).alias("pa"), F.greatest("p", F.col("p").bitwiseXOR(F.col("x"))).alias("pb"), F.lit(depth + 6).alias("depth"), "fp")
         )
         depth += 6
 
@@ -187,9 +190,12 @@ def links(fps: DataFrame, budget: int = 2, pair_rows: int = PAIR_ROWS) -> DataFr
 
     def run(table: pa.Table) -> pa.Table:
         u, v = _stars(table.column("fp").to_numpy().view(np.uint64), table.column("top").to_numpy(), budget)
+        back = np.uint64(table.column("turn")[0].as_py())
+        if back:
+            u, v = ((x >> back) | (x << (np.uint64(BITS) - back)) for x in (u, v))
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return rows.groupBy("pa", "pb", "depth").applyInArrow(run, "u long, v long")
+    return rows.groupBy("turn", "pa", "pb", "depth").applyInArrow(run, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2, seed: int = 42, pair_rows: int = PAIR_ROWS) -> DataFrame:
