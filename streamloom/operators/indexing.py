@@ -10,6 +10,7 @@ The ranges of a source are written once a session: a plan over the same files in
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -55,12 +56,18 @@ def forget() -> None:
 
 
 def _key(df: DataFrame, order_by: list[str]) -> tuple | None:
-    """What a plan that gives the same rows has in common with this one; None if its rows may change."""
+    """What a plan that gives the same rows has in common with this one, with the lengths and times of its files; None if its rows may
+    change otherwise."""
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    if not plan.deterministic() or any(leaves.apply(i).getClass().getSimpleName() not in STEADY for i in range(leaves.size())):
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    if not plan.deterministic() or any(x.getClass().getSimpleName() not in STEADY for x in found):
         return None
-    return df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns), tuple(order_by), tuple(sorted(df.inputFiles()))
+    relations = [x.relation() for x in found if x.getClass().getSimpleName() == "LogicalRelation"]
+    if any(r.getClass().getSimpleName() != "HadoopFsRelation" for r in relations):
+        return None
+    files = hashlib.md5("".join(r.location().allFiles().toString() for r in relations).encode()).hexdigest()
+    return df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(df.columns), tuple(order_by), files
 
 
 def written(df: DataFrame, order_by: list[str]) -> Ranged:
