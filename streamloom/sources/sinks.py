@@ -89,20 +89,20 @@ def managed_csv(df: DataFrame, signal: Column, argument: Column, path: str, head
     return written.select("name", F.input_file_name().alias("f")).groupBy("name").agg((F.count("*") - 1).alias("n_lines"), F.count_distinct("f").alias("n_parts"))
 
 
-def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate: float, bits: int = 16, suffix: Column | None = None) -> DataFrame:
-    """Samples (idx, value) with signals in band to WAV, a folder path/<number><suffix>.wav of parts for each file. Returns name, part,
-    n_samples and n_bytes."""
+def managed_wav(df: DataFrame, signal: Column, argument: Column, path: str, rate: float, bits: int = 16, suffix: Column | None = None, whole: bool = False) -> DataFrame:
+    """Samples (idx, value) with signals in band to WAV, a folder path/<number><suffix>.wav of parts for each file. whole: with the samples that
+    the bits can't hold (see pcm). Returns name, part, n_samples and n_bytes."""
     found = managed.files(df, signal, argument).select("idx", "value", "file_no", F.concat(names(suffix), F.lit(".wav")).alias("name"))
-    return wav_by_name(found, ["idx"], path, rate, bits)
+    return wav_by_name(found, ["idx"], path, rate, bits, whole)
 
 
-def wav_by_name(found: DataFrame, order_by: list[str], path: str, rate: float, bits: int = 16) -> DataFrame:
+def wav_by_name(found: DataFrame, order_by: list[str], path: str, rate: float, bits: int = 16, whole: bool = False) -> DataFrame:
     """Samples (value, name) to WAV, a folder of parts for each name."""
     # Within a file elements may be missing where a gate was closed, so places are counted along the whole stream.
     counted = indexing.dense_index(found, order_by, "before")
     starts = counted.groupBy("name").agg(F.min("before").alias("start"))
     dense = counted.join(starts, "name").select((F.col("before") - F.col("start")).alias("idx"), "value", "name")
-    return pcm.write_wav_parts(dense, path, rate, bits, names="name")
+    return pcm.write_wav_parts(dense, path, rate, bits, names="name", whole=whole)
 
 
 def to_function(stream: Stream, spark: SparkSession, fn: Callable[[str, int, Any], bool], rate: float = 44100.0) -> None:
