@@ -37,6 +37,16 @@ def divide(x: Column, y: Column) -> Column:
     return F.when(y == 0, zero).otherwise(x / F.when(y == 0, F.lit(1.0)).otherwise(y))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A number with so many digits after the point, as SQL's engines in C round it: x times a power of ten, in doubles, half away from zero.
+    F.round rounds the shortest decimal text of x instead, so that 0.0640625 with six digits is 0.064063 there and 0.064062 here."""
+    scale = F.lit(10.0**digits)
+    scaled = x * scale
+    near = F.rint(scaled)
+    found = F.when(F.abs(scaled - near) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(near) / scale
+    return F.when(F.isnan(found) | (F.abs(found) == float("inf")), x).otherwise(found)
+
+
 def combine(x: Column, y: Column, op: str) -> Column:
     """x op y for + - * /, with an absent operand as 0; a quotient without a right operand is 0."""
     a, b = F.coalesce(x, F.lit(ZERO)), F.coalesce(y, F.lit(ZERO))
